@@ -45,9 +45,10 @@ def targets(sources: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float
             "rest": F.sum("weight").over(filled.rowsBetween(0, Window.unboundedFollowing)),
         }
     )
-    # The level that holds if this source is the first that is not capped; the right one is the least that its cap bears.
+    # The level that holds if this source is the first that is not capped. It is over the source's own level for sources
+    # before the right one, and falls after it, so the right one is the largest that its source bears.
     rows = rows.withColumn("try", (F.col("total") - F.col("capped")) / F.col("rest"))
-    level = F.min(F.when(F.col("try") <= F.col("level"), F.col("try"))).over(every)
+    level = F.max(F.when(F.col("try") <= F.col("level"), F.col("try"))).over(every)
     return rows.withColumn("target", F.coalesce(F.least(F.col("cap"), level * F.col("weight")), F.col("cap"))).select(
         "source", "source_size", "weight", "target"
     )

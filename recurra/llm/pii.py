@@ -125,7 +125,11 @@ def digest(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, spans with scores, counts of the base kinds, the digest of the base spans, all spans as text."""
     base = [i for i, k in enumerate(KINDS) if k.base]
     s = F.col("__pii")
-    counts = [F.size(F.filter(s, lambda x, i=i: x["kind"] == i)).cast("long").alias(f"n_{KINDS[i].name}") for i in base]
+
+    def count(i: int) -> Column:
+        return F.size(F.filter(s, lambda x: x["kind"] == i)).cast("long").alias(f"n_{KINDS[i].name}")
+
+    counts = [count(i) for i in base]
     return find(docs, ["doc_id"]).select(
         "doc_id",
         *counts,
