@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import BROADCAST_ROWS, save
 
 _TABLE = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
@@ -72,7 +72,8 @@ def weigh(docs: DataFrame, target_ids: DataFrame, size: int = 10_000, seed: int
     """
     ids = target_ids.where("doc_id is not null").select(F.col("doc_id").alias("t_id")).distinct()
     keyed = docs.select("doc_id", "text")
-    # The id table, not the text, goes through the join; marks come back as a set of hashes of bounded rows.
+    # The texts stay where they are if the counted ids may be broadcast; beyond that they are shuffled once.
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
     marked = keyed.join(ids, keyed.doc_id == ids.t_id, "left").select("text", F.col("t_id").isNotNull().alias("in_target"))
     shared = docs.sparkSession.sparkContext.broadcast(log_ratios(bucket_counts(marked, size), size))
 
