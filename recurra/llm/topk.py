@@ -28,7 +28,7 @@ class Node:
     children: list[Node]
 
 
-def cover_tree(x: np.ndarray, leaf: int = 32, base: float = 1.3, fan: int = 16) -> Node:
+def cover_tree(x: np.ndarray, leaf: int = 256, base: float = 1.3, fan: int = 16) -> Node:
     """A cover tree over the rows of x.
 
     A node's children cover its points by balls of its radius over `base`, around centres that lie further apart than
@@ -52,8 +52,8 @@ def cover_tree(x: np.ndarray, leaf: int = 32, base: float = 1.3, fan: int = 16)
         best, owner = dist.copy(), np.zeros(len(dist), int)
         centers = [node.center]
         while len(centers) < fan and (best > reach).any():
-            far = int(best.argmax())
-            c = x[node.points[far]]
+            # The first point outside all balls, not the furthest: outliers would be centres of themselves alone.
+            c = x[node.points[int((best > reach).argmax())]]
             d = np.sqrt(((x[node.points] - c) ** 2).sum(1))
             closer = d < best
             best[closer], owner[closer] = d[closer], len(centers)
@@ -74,8 +74,18 @@ class _Best:
         self.k = k
 
     def add(self, rows: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
-        s = np.hstack([self.score[rows], score])
-        i = np.hstack([self.id[rows], np.broadcast_to(ids, score.shape)])
+        better = (score >= self.score[rows, -1][:, None]).any(1)
+        if not better.any():
+            return
+        rows = rows[better]
+        s = np.hstack([self.score[rows], score[better]])
+        i = np.hstack([self.id[rows], np.broadcast_to(ids, (len(rows), len(ids)))])
+        if s.shape[1] > 4 * self.k:
+            # All that reach the k-th score; only where ties reach over k columns is the whole row needed.
+            most = np.argpartition(-s, 2 * self.k, axis=1)[:, : 2 * self.k]
+            kth = -np.partition(-s, self.k - 1, axis=1)[:, self.k - 1]
+            if ((s >= kth[:, None]).sum(1) <= 2 * self.k).all():
+                s, i = np.take_along_axis(s, most, 1), np.take_along_axis(i, most, 1)
         order = np.lexsort((i, -s), axis=1)[:, : self.k]
         self.score[rows] = np.take_along_axis(s, order, 1)
         self.id[rows] = np.take_along_axis(i, order, 1)
