@@ -19,10 +19,19 @@ def _so_far() -> Window:
     return _order().rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
-def running_accuracy(log: DataFrame) -> DataFrame:
-    """right_sum, wrong_sum and overall_accuracy of every row over its stream so far."""
-    right, seen = F.sum("is_correct").over(_so_far()), F.count(F.lit(1)).over(_so_far())
-    return log.select("stream_id", "example", right.alias("right_sum"), (seen - right).alias("wrong_sum"), (right / seen).alias("overall_accuracy"))
+def running_accuracy(log: DataFrame, block: int = 1 << 18) -> DataFrame:
+    """right_sum, wrong_sum and overall_accuracy of every row over its stream so far.
+
+    Sums run inside blocks of rows and start from the totals of the blocks before, so a long stream is spread over tasks.
+    """
+    rows = log.select("stream_id", "example", "is_correct", F.floor(F.col("example") / block).alias("block"))
+    before = Window.partitionBy("stream_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy("stream_id", "block").agg(F.sum("is_correct").alias("right"), F.count(F.lit(1)).alias("seen"))
+    totals = totals.select("stream_id", "block", F.coalesce(F.sum("right").over(before), F.lit(0)).alias("r0"), F.coalesce(F.sum("seen").over(before), F.lit(0)).alias("n0"))
+    here = Window.partitionBy("stream_id", "block").orderBy("example").rowsBetween(Window.unboundedPreceding, 0)
+    right, seen = F.col("r0") + F.sum("is_correct").over(here), F.col("n0") + F.count(F.lit(1)).over(here)
+    sums = rows.join(totals, ["stream_id", "block"]).select("stream_id", "example", right.alias("right_sum"), seen.alias("seen"))
+    return sums.select("stream_id", "example", "right_sum", (F.col("seen") - F.col("right_sum")).alias("wrong_sum"), (F.col("right_sum") / F.col("seen")).alias("overall_accuracy"))
 
 
 def kappas(log: DataFrame, by: list[str] = S, label_only: bool = False) -> DataFrame:

@@ -2,6 +2,9 @@
 
 A frame holds the newest `w` rows of a stream, the current one included. Degenerate frames follow the incremental
 rules: standard deviation 0 under two rows, skewness 0 and kurtosis -3 for constant frames, correlations 0.
+
+A long stream is cut into blocks of rows; each takes the rows that its first frames reach back to from the block before.
+So the frames of one stream, even of one that holds most rows, are computed by as many tasks as it has blocks.
 """
 
 from __future__ import annotations
@@ -10,8 +13,28 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Rows of a block; frames must be shorter.
+BLOCK = 1 << 18
+
+
+def spread(rows: DataFrame, reach: int, block: int | None = None) -> DataFrame:
+    """rows plus block and own; the last `reach` rows of a block occur again in the next one, there not its own."""
+    size = block or BLOCK
+    if reach >= size:
+        raise ValueError("frames must be shorter than a block")
+    at = F.floor(F.col("example") / size)
+    again = F.when(F.col("example") % size >= size - reach, at + 1)
+    copies = rows.withColumn("block", F.explode(F.array_compact(F.array(at, again))))
+    return copies.withColumn("own", F.col("block") == at)
+
+
 def order() -> Window:
-    return Window.partitionBy("stream_id").orderBy("example")
+    return Window.partitionBy("stream_id", "block").orderBy("example")
+
+
+def _kept(rows: DataFrame, *columns) -> DataFrame:
+    """The columns of each block's own rows, after the frames have been computed."""
+    return rows.select("stream_id", "example", "own", *columns).where("own").drop("own")
 
 
 def frame(w: int, start: int = 0, stop: int = 0) -> Window:
@@ -37,16 +60,17 @@ def kurtosis(x: str, w: int) -> Column:
 
 def moments(rows: DataFrame, x: str, w: int) -> DataFrame:
     """mean, stdev, skew (biased) and kurtosis (excess) of the frame; all share one window."""
-    return rows.select("stream_id", "example", mean(x, w).alias("mean"), stdev(x, w).alias("stdev"), skew(x, w).alias("skew"), kurtosis(x, w).alias("kurtosis"))
+    return _kept(spread(rows, w), mean(x, w).alias("mean"), stdev(x, w).alias("stdev"), skew(x, w).alias("skew"), kurtosis(x, w).alias("kurtosis"))
 
 
 def turning_point_rate(rows: DataFrame, x: str, w: int) -> DataFrame:
     """Strict sign changes of consecutive differences inside the frame, over its rows; 0 under three rows."""
+    rows = spread(rows, w + 2)
     d = F.col(x) - F.lag(x).over(order())
     turn = rows.withColumn("d", d).withColumn("turn", (F.col("d") * F.lag("d").over(order()) < 0).cast("int"))
     n = F.count(F.lit(1)).over(frame(w))
     rate = F.when(n < 3, 0.0).otherwise(F.coalesce(F.sum("turn").over(frame(w, 2)), F.lit(0)) / n)
-    return turn.select("stream_id", "example", rate.alias("turning_point_rate"))
+    return _kept(turn, rate.alias("turning_point_rate"))
 
 
 def autocorrelations(rows: DataFrame, x: str, w: int) -> DataFrame:
@@ -55,10 +79,10 @@ def autocorrelations(rows: DataFrame, x: str, w: int) -> DataFrame:
     acf has biased autocovariances about the frame's mean; pacf solves Yule-Walker for denominators n - lag. Built from
     sums of lagged products, so no frame is collected. 0 for constant or short frames.
     """
-    lagged = rows.withColumns({"x1": F.lag(x, 1).over(order()), "x2": F.lag(x, 2).over(order())})
+    lagged = spread(rows, w + 2).withColumns({"x1": F.lag(x, 1).over(order()), "x2": F.lag(x, 2).over(order())})
     n = F.count(F.lit(1)).over(frame(w))
-    out = lagged.select(
-        "stream_id", "example", n.cast("double").alias("n"), F.avg(x).over(frame(w)).alias("m"), F.var_pop(x).over(frame(w)).alias("c0"),
+    out = _kept(
+        lagged, n.cast("double").alias("n"), F.avg(x).over(frame(w)).alias("m"), F.var_pop(x).over(frame(w)).alias("c0"),
         *[
             c
             for k in (1, 2)
@@ -89,32 +113,32 @@ def autocorrelations(rows: DataFrame, x: str, w: int) -> DataFrame:
 def error_distances(log: DataFrame) -> DataFrame:
     """Rows between an error and the one before, on error rows; a stream's first error has none."""
     errors = log.where("is_correct = 0")
-    gap = F.col("example") - F.lag("example").over(order())
+    gap = F.col("example") - F.lag("example").over(Window.partitionBy("stream_id").orderBy("example"))
     return errors.select("stream_id", "example", gap.alias("error_distance")).where("error_distance is not null")
 
 
 def rolling_mean(rows: DataFrame, x: str, w: int) -> DataFrame:
     """Mean of the newest w rows, null until there are that many."""
     full = F.count(F.lit(1)).over(frame(w)) == w
-    return rows.select("stream_id", "example", F.when(full, F.avg(x).over(frame(w))).alias("rolling_mean"))
+    return _kept(spread(rows, w), F.when(full, F.avg(x).over(frame(w))).alias("rolling_mean"))
 
 
 def stable_mean(rows: DataFrame, x: str, w: int, buffer: int) -> DataFrame:
     """Mean of the w rows that are older than the newest `buffer` rows."""
     old = order().rowsBetween(-(buffer + w - 1), -buffer)
-    return rows.select("stream_id", "example", F.avg(x).over(old).alias("stable_mean"))
+    return _kept(spread(rows, buffer + w), F.avg(x).over(old).alias("stable_mean"))
 
 
 def lag_correlation(rows: DataFrame, x: str, lag: int, w: int) -> DataFrame:
     """Pearson correlation of a frame with itself `lag` rows before; null for constant frames."""
-    r = rows.withColumn("before", F.lag(x, lag).over(order()))
-    return r.select("stream_id", "example", F.corr(x, "before").over(frame(w)).alias("lag_correlation"))
+    r = spread(rows, w + lag).withColumn("before", F.lag(x, lag).over(order()))
+    return _kept(r, F.corr(x, "before").over(frame(w)).alias("lag_correlation"))
 
 
 def running_regression(rows: DataFrame, x: str, y: str, w: int) -> DataFrame:
     """Slope, intercept and correlation of y on x over the frame; null for constant x."""
     f = frame(w)
-    return rows.select("stream_id", "example", F.regr_slope(y, x).over(f).alias("slope"), F.regr_intercept(y, x).over(f).alias("intercept"), F.corr(y, x).over(f).alias("correlation"))
+    return _kept(spread(rows, w), F.regr_slope(y, x).over(f).alias("slope"), F.regr_intercept(y, x).over(f).alias("intercept"), F.corr(y, x).over(f).alias("correlation"))
 
 
 def window_sources(rows: DataFrame, features: list[str]) -> DataFrame:
@@ -129,10 +153,10 @@ def window_stats(rows: DataFrame, features: list[str], w: int, every: int = 1, i
 
     ignore: features to leave out. Frames are computed before rows are left out. Each source has its own window partition.
     """
-    by = Window.partitionBy("stream_id", "source").orderBy("example").rowsBetween(-(w - 1), 0)
-    long = window_sources(rows, features)
-    stats = long.select(
-        "stream_id", "example", "source",
+    by = Window.partitionBy("stream_id", "block", "source").orderBy("example").rowsBetween(-(w - 1), 0)
+    long = spread(window_sources(rows, features), w)
+    stats = _kept(
+        long, "source",
         F.avg("value").over(by).alias("mean"), F.coalesce(F.stddev_samp("value").over(by), F.lit(0.0)).alias("stdev"),
         F.coalesce(F.skewness("value").over(by), F.lit(0.0)).alias("skew"), F.coalesce(F.kurtosis("value").over(by), F.lit(-3.0)).alias("kurtosis"),
     )

@@ -17,15 +17,23 @@ def ordered() -> Window:
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(stream_id, example, value, k, y): events of a stream in order of time; y is the dense code of the type."""
+    """(stream_id, example, value, k, y): events of a stream in order of time; y is the dense code of the type.
+
+    Rows are numbered inside a stream's day and start from the number of rows of the days before, so no task sorts a
+    whole stream.
+    """
     e = table(spark, sf_dir, "events")
     # A code per type by order of name: a window over the few distinct types.
     codes = e.select("event_type").distinct().withColumn("y", (F.row_number().over(Window.orderBy("event_type")) - 1).cast("int"))
     stream = F.pmod("user_id", F.lit(STREAMS))
-    place = Window.partitionBy("stream_id").orderBy("ts", "event_id")
+    place = Window.partitionBy("stream_id", "day").orderBy("ts", "event_id")
     k = F.get_json_object("props", "$.k").cast("double")
-    rows = e.select(stream.alias("stream_id"), "ts", "event_id", "value", k.alias("k"), "event_type")
-    rows = rows.withColumn("example", F.row_number().over(place).cast("long") - 1)
+    day = F.to_date("ts").alias("day")
+    rows = e.select(stream.alias("stream_id"), day, "ts", "event_id", "value", k.alias("k"), "event_type")
+    before = Window.partitionBy("stream_id").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    days = e.groupBy(stream.alias("stream_id"), day).agg(F.count(F.lit(1)).alias("n"))
+    days = days.select("stream_id", "day", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    rows = rows.join(days, ["stream_id", "day"]).withColumn("example", F.col("first") + F.row_number().over(place) - 1)
     return rows.join(codes, "event_type").select("stream_id", "example", "value", "k", "y")
 
 

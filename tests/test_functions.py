@@ -165,6 +165,19 @@ def test_windows_equal_the_stateful_form(spark):
         assert t[i].turning_point_rate == pytest.approx(b["turning_point_rate"])
 
 
+def test_blocks_do_not_change_frames(spark, monkeypatch):
+    x = np.random.default_rng(7).normal(size=90).round(3)
+    rows = spark.createDataFrame([(0, i, float(v)) for i, v in enumerate(x)], "stream_id int, example int, x double")
+    forms = [lambda: windows.moments(rows, "x", 10), lambda: windows.autocorrelations(rows, "x", 10), lambda: windows.turning_point_rate(rows, "x", 10), lambda: windows.stable_mean(rows, "x", 5, 4)]
+    whole = [sorted(map(tuple, f().collect())) for f in forms]
+    monkeypatch.setattr(windows, "BLOCK", 16)
+    for f, want in zip(forms, whole, strict=True):
+        got = sorted(map(tuple, f().collect()))
+        assert len(got) == 90 and all(a == pytest.approx(b, abs=1e-9) for a, b in zip(got, want, strict=True))
+    log = rows.selectExpr("stream_id", "example", "cast(x > 0 as int) as is_correct")
+    assert sorted(map(tuple, evaluation.running_accuracy(log, 7).collect())) == sorted(map(tuple, evaluation.running_accuracy(log).collect()))
+
+
 def test_error_distances_of_the_fixture(spark):
     rows = log(spark, [1, 0, 1, 0], [1, 1, 0, 0])
     assert [r.error_distance for r in windows.error_distances(rows).collect()] == [1]
