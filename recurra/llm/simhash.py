@@ -208,7 +208,8 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, view
     sampled view: of the `sample` shingles that are least under the view's own order. Two texts agree in a view with
     probability similarity ** sample; equal fingerprints (grid cells at zero bits) give candidates, which are
     verified by the exact Jaccard similarity of their shingle sets. In a group, members are compared with `leaders`
-    of them, and again without those and what they matched until none is left; no group emits all its pairs.
+    of them, and again without those and what they matched, with four times as many leaders up to 128, until none is
+    left; no group emits all its pairs at once.
     Equal texts are one; null and wordless texts are equal to each other only if byte-equal (null as empty).
     Rows with a null doc_id are never listed.
     """
@@ -247,6 +248,7 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, view
         left = left.join(gone, [*key, "doc_id"], "left_anti")
         again = left.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
         left = save(left.join(again, key, "left_semi"), "left")
+        leaders = min(4 * leaders, max(leaders, 128))
     spark = docs.sparkSession
     same = tested.where("same").select("a", "b") if tested is not None else spark.createDataFrame([], "a long, b long")
     # Node ids by hash, so that contraction takes few rounds whatever the order of the ids.
