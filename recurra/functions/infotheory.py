@@ -90,3 +90,32 @@ def gaussian_information_gain(groups: DataFrame, keys: list[str]) -> DataFrame:
         F.sum(F.col("w") * gaussian_entropy(F.col("sigma"))).alias("given"),
     )
     return pooled.select(*keys, (gaussian_entropy(F.sqrt(F.col("m2") - F.col("m") ** 2)) - F.col("given")).alias("gain"))
+
+
+def divergences(pairs: DataFrame) -> DataFrame:
+    """pairs (m1, s1, m2, s2) plus KL, its swapped and its symmetric form, and the summed-variance difference, in nats."""
+    a = gaussian_kl(F.col("m1"), F.col("s1"), F.col("m2"), F.col("s2"))
+    b = gaussian_kl(F.col("m2"), F.col("s2"), F.col("m1"), F.col("s1"))
+    both = F.log(F.sqrt(F.col("s1") ** 2 + F.col("s2") ** 2)) - (F.log("s1") + F.log("s2")) / 2
+    return pairs.withColumns({"kl": a, "kl_swap": b, "kl_sym": a + b, "js": both})
+
+
+def uniform_information_gain(groups: DataFrame, keys: list[str]) -> DataFrame:
+    """As `gaussian_information_gain` with uniform distributions of width 4 sigma."""
+    total = F.sum("seen").over(Window.partitionBy(*keys))
+    w = groups.withColumn("w", F.col("seen") / total)
+    pooled = w.groupBy(*keys).agg(
+        F.sum(F.col("w") * F.col("mu")).alias("m"),
+        F.sum(F.col("w") * (F.col("sigma") ** 2 + F.col("mu") ** 2)).alias("m2"),
+        F.sum(F.col("w") * uniform_entropy(F.col("sigma"))).alias("given"),
+    )
+    return pooled.select(*keys, (uniform_entropy(F.sqrt(F.col("m2") - F.col("m") ** 2)) - F.col("given")).alias("gain"))
+
+
+def conditional_entropy(counts: DataFrame, keys: list[str], group: str) -> DataFrame:
+    """keys, h, given, gain, share: entropy of the bins, its mean inside the groups, the difference and that over h (0 for h = 0)."""
+    merged = entropy(counts.groupBy(*keys, "bin").agg(F.sum("n").alias("n")), keys).select(*keys, F.col("entropy").alias("h"), F.col("total").alias("all"))
+    each = entropy(counts, [*keys, group]).join(merged, keys)
+    g = each.groupBy(*keys, "h").agg(F.sum(F.col("entropy") * F.col("total") / F.col("all")).alias("given"))
+    gain = F.col("h") - F.col("given")
+    return g.select(*keys, "h", "given", gain.alias("gain"), F.when(F.col("h") > 0, gain / F.col("h")).otherwise(0.0).alias("share"))

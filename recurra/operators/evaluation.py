@@ -194,3 +194,43 @@ def discrimination(log: DataFrame, similarity: DataFrame, model: str = "active_m
     other = other.withColumn("d", F.when(spread > 0, (F.col("mean") - F.col("own_mean")) / spread).otherwise(0.0) * F.col("share"))
     per_chunk = other.groupBy("stream_id", "chunk").agg(F.avg("d").alias("d"))
     return per_chunk.groupBy("stream_id").agg(F.sum("d").alias("mean_discrimination"), F.count(F.lit(1)).alias("chunks"))
+
+
+def online_confusion(log: DataFrame, model: str = "active_model") -> DataFrame:
+    """Running counts of the row's pair of concept and model, and running recall, precision and F1 of that pair."""
+    rows = fill_concept(log)
+    upto = lambda *k: F.count(F.lit(1)).over(Window.partitionBy("stream_id", *k).orderBy("example").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.select("stream_id", "example", "concept", F.col(model).alias("model"), upto("concept", model).alias("n"), upto("concept").alias("gt_n"), upto(model).alias("model_n"))
+    return rows.select("*", (F.col("n") / F.col("gt_n")).alias("recall"), (F.col("n") / F.col("model_n")).alias("precision"), (2.0 * F.col("n") / (F.col("gt_n") + F.col("model_n"))).alias("f1"))
+
+
+def log_summary(log: DataFrame, columns: list[str]) -> DataFrame:
+    """Last, largest and mean value of some columns of each stream."""
+    aggs = []
+    for c in columns:
+        aggs += [F.max_by(c, "example").alias(f"last_{c}"), F.max(c).alias(f"max_{c}"), F.avg(c).alias(f"mean_{c}")]
+    return log.groupBy(*S).agg(*aggs)
+
+
+def similarity_record(rows: DataFrame, value: str, kept: int = 49) -> DataFrame:
+    """Mean and sample stdev (0 for one) of the newest `kept` similarities of each state."""
+    w = Window.partitionBy("stream_id", "state").orderBy("example").rowsBetween(-(kept - 1), 0)
+    return rows.select("stream_id", "state", "example", F.avg(value).over(w).alias("mean"), F.coalesce(F.stddev_samp(value).over(w), F.lit(0.0)).alias("stdev"))
+
+
+def traces(rows: DataFrame, value: str, every: int = 10, smooth: int = 7) -> DataFrame:
+    """Every n-th value of each state's series with its rolling mean; series do not run into each other."""
+    w = Window.partitionBy("stream_id", "state").orderBy("example").rowsBetween(-(smooth - 1), 0)
+    thin = rows.where(F.col("example") % every == 0)
+    return thin.select("stream_id", "state", "example", F.col(value).alias("value"), F.when(F.count(F.lit(1)).over(w) == smooth, F.avg(value).over(w)).alias("smooth"))
+
+
+def result_record(log: DataFrame, similarity: DataFrame, horizons: tuple[int, ...] = (50, 250, 500)) -> DataFrame:
+    """One row per stream: the kappas of the whole run and of each horizon, concept matching and discrimination."""
+    out = kappas(log)
+    for kind, rows in (("drift", after_drift), ("driftdetect", after_detection)):
+        for h in horizons:
+            k = kappas(rows(log, h))
+            out = out.join(k.select(*S, *[F.col(c).alias(f"{kind}_{h}_{c}") for c in k.columns if c not in (*S, "rows")]), S, "left")
+    pairs = concept_pairs(log)
+    return out.join(concept_summary(pairs), S, "left").join(weighted_models(pairs), S, "left").join(discrimination(log, similarity), S, "left")

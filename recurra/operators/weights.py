@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.infotheory import mutual_information
+from ..functions.infotheory import bin_of, mutual_information
+from ..functions.vectors import normal_cdf
 from .fingerprints import SIGNAL, histogram_fingerprints
 
 
@@ -73,6 +74,33 @@ def histogram_mi(stats: DataFrame, normal: DataFrame, prints: DataFrame, bins: i
     return normal.select(*SIGNAL).join(scale(prints, normal), SIGNAL, "left").join(mi, SIGNAL, "left").select(*SIGNAL, (F.col("mi") * F.col("scale")).alias("weight"))
 
 
+def gaussian_mi(prints: DataFrame, normal: DataFrame, bins: int = 10) -> DataFrame:
+    """Per signal the mutual information of bin and state from the states' normals over the unit range, times scale."""
+    s = scale(prints, normal)
+    scaled = prints.join(s, SIGNAL).select("state", *SIGNAL, ((F.col("mean") - F.col("low")) / F.col("width")).alias("mu"), F.greatest(F.col("stdev") / F.col("width"), F.lit(0.01)).alias("sigma"), F.col("seen").cast("double").alias("seen"))
+    rows = scaled.select("*", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    at = lambda edge: normal_cdf((edge - F.col("mu")) / F.col("sigma"))
+    left = F.when(F.col("bin") == 0, 0.0).otherwise(at(F.col("bin") / bins))
+    right = F.when(F.col("bin") == bins - 1, 1.0).otherwise(at((F.col("bin") + 1) / bins))
+    mass = rows.select("state", *SIGNAL, "bin", (F.col("seen") * (right - left)).alias("n"))
+    mi = mutual_information(mass, SIGNAL, "state")
+    return normal.select(*SIGNAL).join(s, SIGNAL, "left").join(mi, SIGNAL, "left").select(*SIGNAL, (F.col("mi") * F.col("scale")).alias("weight"))
+
+
+def log_probability(stats: DataFrame, prints: DataFrame, normal: DataFrame, bins: int = 10) -> DataFrame:
+    """keys of stats, state, log_probability: the sum of log shares of the bins that a description's values fall into.
+
+    prints: histogram fingerprints (state, source, feature, bin, n) over the normaliser's ranges; an empty bin counts as
+    half a value. Every stored state judges every description; states are few.
+    """
+    ends = normal.select(*SIGNAL, "lo", "hi")
+    placed = stats.join(ends, SIGNAL).withColumn("bin", bin_of(F.col("value"), F.col("lo"), F.col("hi"), bins)).select("stream_id", "example", *SIGNAL, "bin")
+    total = prints.groupBy("state", *SIGNAL).agg(F.sum("n").alias("total"))
+    every = placed.join(total, SIGNAL).join(prints, ["state", *SIGNAL, "bin"], "left")
+    share = F.coalesce(F.col("n").cast("double"), F.lit(0.5)) / F.col("total")
+    return every.groupBy("stream_id", "example", "state").agg(F.sum(F.log(share)).alias("log_probability"))
+
+
 def uniform(normal: DataFrame) -> DataFrame:
     return normal.select(*SIGNAL, F.lit(1.0).alias("weight"))
 
@@ -88,7 +116,7 @@ def completed(weights: DataFrame, none: float = 0.01) -> DataFrame:
 METHODS = {
     "uniform": uniform, "None": uniform, "fisher_overall": fisher_overall, "default": fisher_overall,
     "fisher": lambda a, o, n: fisher_overall(a, o, n, within=True), "original": original,
-    "histogram": histogram_mi, "Cachehistogram_MI": histogram_mi,
+    "gaussian_approx": gaussian_mi, "CacheMIHy": gaussian_mi, "histogram": histogram_mi, "Cachehistogram_MI": histogram_mi,
 }
 
 
