@@ -102,6 +102,37 @@ SELECT page_id, host, path,
 FROM p
 """
 
+_PII_PATTERNS = [
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"),
+    ("ip", r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+"),
+    ("card", r"[0-9](?:[\x20-]?[0-9])+"),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"),
+    ("iban", r"[A-Za-z0-9]+"),
+    ("ssn", r"[0-9-]+"),
+]
+_OCTET = "0*([0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
+OP8_SQL = f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS s FROM documents),
+k AS ({" UNION ALL ".join(f"SELECT doc_id, s, {i} AS kind, '{n}' AS name, regexp_extract_all(s, '{p}') AS m, string_split_regex(s, '{p}') AS g FROM t" for i, (n, p) in enumerate(_PII_PATTERNS))}),
+n AS (SELECT doc_id, s, kind, name, m, list_transform(g, lambda z: length(z)) AS gl, list_transform(m, lambda z: length(z)) AS ml FROM k WHERE len(m) > 0),
+x AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM n),
+p AS (SELECT doc_id, s, kind, name, m[i] AS f, CAST(list_sum(gl[1:i]) + list_sum(ml[1:i]) - ml[i] AS BIGINT) AS st FROM x
+  WHERE kind < 4 OR kind = 4 AND regexp_full_match(m[i], '[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]{{11,30}}') OR kind = 5 AND regexp_full_match(m[i], '[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}')),
+d AS (SELECT *, regexp_replace(f, '[^0-9]', '', 'g') AS dg, CASE WHEN kind = 4 THEN list_aggregate(list_transform(string_split(substr(f, 5) || substr(f, 1, 4), ''), lambda c: CASE WHEN c <= '9' THEN c ELSE CAST(ascii(c) - 55 AS VARCHAR) END), 'string_agg', '') END AS num FROM p),
+v AS (SELECT * FROM d WHERE CASE kind
+  WHEN 1 THEN regexp_full_match(f, '{_OCTET}\\.{_OCTET}\\.{_OCTET}\\.{_OCTET}')
+  WHEN 2 THEN length(dg) BETWEEN 14 AND 19 AND list_sum(list_transform(range(1, length(dg) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST(reverse(dg)[i] AS INTEGER)
+    ELSE 2 * CAST(reverse(dg)[i] AS INTEGER) - CASE WHEN CAST(reverse(dg)[i] AS INTEGER) > 4 THEN 9 ELSE 0 END END)) % 10 = 0
+  WHEN 3 THEN length(dg) BETWEEN 10 AND 15
+  WHEN 4 THEN list_reduce(list_transform(string_split(num, ''), lambda c: CAST(c AS BIGINT)), lambda a, b: (a * 10 + b) % 97) = 1
+  WHEN 5 THEN regexp_matches(lower(substr(s, greatest(st - 48, 0) + 1, least(st, 48))), 'ssn|social')
+  ELSE true END)
+SELECT t.doc_id, count(*) FILTER (kind = 0) AS n_email, count(*) FILTER (kind = 1) AS n_ip, count(*) FILTER (kind = 2) AS n_card, count(*) FILTER (kind = 3) AS n_phone,
+  sha256(coalesce(string_agg(name || ':' || st || ':' || (st + length(f)), ',' ORDER BY st, kind) FILTER (kind < 4), '')) AS base_sha256,
+  coalesce(string_agg(name || ':' || st || ':' || (st + length(f)), ',' ORDER BY st, kind), '') AS spans
+FROM t LEFT JOIN v ON t.doc_id = v.doc_id GROUP BY t.doc_id
+"""
+
 OP9_SQL = r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -118,4 +149,4 @@ WITH t AS (
 SELECT conv_id, n_turns, turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g
 """
 
-ORACLE_SQL = {"op1_topk": OP1_SQL, "op5_urls": OP5_SQL, "op9_chat": OP9_SQL}
+ORACLE_SQL = {"op1_topk": OP1_SQL, "op5_urls": OP5_SQL, "op8_pii": OP8_SQL, "op9_chat": OP9_SQL}
