@@ -149,4 +149,31 @@ WITH t AS (
 SELECT conv_id, n_turns, turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g
 """
 
-ORACLE_SQL = {"op1_topk": OP1_SQL, "op5_urls": OP5_SQL, "op8_pii": OP8_SQL, "op9_chat": OP9_SQL}
+OP10_SQL = r"""
+WITH z AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+    CAST('0x' || substr(md5(concat_ws(':', '7', coalesce(CAST(doc_id AS VARCHAR), 'null'))), 1, 12) AS BIGINT) AS h FROM documents
+), s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM z GROUP BY 1
+), s1 AS (SELECT *, 2.0 * source_size AS cap, ([5.0, 2.0, 1.0])[1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::DOUBLE AS w FROM s0
+), s2 AS (SELECT *, (1.5 * sum(source_size) OVER () - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS t
+  FROM s1 WINDOW o AS (ORDER BY cap / w, source NULLS LAST)
+), s3 AS (SELECT *, least(cap, w * max(t) FILTER (t <= cap / w) OVER ()) AS target FROM s2
+), b AS (SELECT CAST(greatest(1, least(64, floor(min(target) FILTER (target > 0) / 100))) AS BIGINT) AS block, sum(target) AS total FROM s3
+), seats AS (SELECT source, target / (2 * k + 1) AS q, block, total FROM (SELECT source, target, block, total, unnest(range(0, CAST(ceil(target / block) AS BIGINT) + 30)) AS k FROM s3, b WHERE target > 0)
+), quota AS (SELECT source, count(*) AS quota FROM (SELECT * FROM seats QUALIFY row_number() OVER (ORDER BY q DESC, source NULLS LAST) <= round(total / block)) GROUP BY 1
+), d AS (SELECT z.*, s3.source_size, s3.target, coalesce(quota, 0) AS quota, block, z.h % greatest(1, CAST(ceil(s3.source_size / 500000.0) AS BIGINT)) AS shard
+  FROM z JOIN s3 ON z.source IS NOT DISTINCT FROM s3.source LEFT JOIN quota ON z.source IS NOT DISTINCT FROM quota.source, b
+), sh AS (SELECT source, shard, quota, CAST(sum(size) AS BIGINT) AS line FROM d GROUP BY 1, 2, 3
+), shq AS (SELECT source, shard, count(*) AS blocks FROM (
+    SELECT * FROM (SELECT source, shard, quota, line / (2.0 * unnest(range(0, quota + 1)) + 1) AS q FROM sh WHERE line > 0) QUALIFY row_number() OVER (PARTITION BY source ORDER BY q DESC, shard) <= quota) GROUP BY 1, 2
+), e AS (SELECT d.*, line, least(coalesce(blocks, 0) * block, line * 2) AS words, CAST(sum(size) OVER (PARTITION BY d.source, d.shard ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING) AS BIGINT) AS stop,
+    CAST('0x' || substr(md5(concat_ws(':', 'run7', coalesce(d.source, ''), CAST(d.shard AS VARCHAR))), 1, 12) AS BIGINT) AS draw
+  FROM d JOIN sh ON d.source IS NOT DISTINCT FROM sh.source AND d.shard = sh.shard LEFT JOIN shq ON d.source IS NOT DISTINCT FROM shq.source AND d.shard = shq.shard
+), f AS (SELECT *, CASE WHEN line > 0 THEN words // line ELSE 0 END AS times, CASE WHEN line > 0 THEN draw % greatest(CAST(ceil(line / CAST(block AS DOUBLE)) AS BIGINT), 1) * block ELSE 0 END AS first FROM e
+), g AS (SELECT *, words - times * line AS run FROM f)
+SELECT doc_id, size, source_size, target, CAST(times * size
+  + greatest(least(stop, first + run) - first, 0) + least(stop, greatest(first + run - line, 0))
+  - greatest(least(stop - size, first + run) - first, 0) - least(stop - size, greatest(first + run - line, 0)) AS BIGINT) AS taken FROM g
+"""
+
+ORACLE_SQL = {"op1_topk": OP1_SQL, "op5_urls": OP5_SQL, "op8_pii": OP8_SQL, "op9_chat": OP9_SQL, "op10_mixing": OP10_SQL}
