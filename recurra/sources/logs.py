@@ -76,3 +76,42 @@ def with_defaults(rows: DataFrame, defaults: dict) -> DataFrame:
     for c, v in defaults.items():
         rows = rows.withColumn(c, F.coalesce(F.col(c), F.lit(v)) if c in rows.columns else F.lit(v))
     return rows
+
+
+#: Columns of other engines' result files and the log columns they stand for, first match wins.
+EXTERNAL = {
+    "example": ("example", "learning evaluation instances", "instances"),
+    "overall_accuracy": ("overall_accuracy", "classifications correct (percent)", "accuracy"),
+    "active_model": ("active_model", "system_concept", "model"),
+    "ram_use": ("ram_use", "model serialized size (bytes)", "memory"),
+    "cpu_time": ("cpu_time", "evaluation time (cpu seconds)", "time"),
+}
+
+
+def read_external(spark: SparkSession, path: str) -> DataFrame:
+    """Result CSVs of other engines under the log's column names; missing columns are null, percents become shares."""
+    raw = spark.read.option("header", True).option("inferSchema", True).csv(path)
+    known = {c.strip().lower(): c for c in raw.columns}
+    out = []
+    for name, aliases in EXTERNAL.items():
+        found = next((known[a] for a in aliases if a in known), None)
+        c = F.col(f"`{found}`").cast("double") if found else F.lit(None).cast("double")
+        if found and "percent" in found:
+            c = c / 100
+        out.append(c.alias(name))
+    return raw.select(*out)
+
+
+def cached(make, path: str, spark: SparkSession) -> DataFrame:
+    """The table stored at `path`; where there is none, what `make` returns is stored first."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def write_options(spark: SparkSession, options: dict, path: str) -> None:
+    """A run's or generator's parameters as one JSON object; the writer's _SUCCESS mark tells that it is complete."""
+    import json
+
+    spark.createDataFrame([(json.dumps(options, sort_keys=True, default=str),)], "value string").coalesce(1).write.mode("overwrite").text(path)

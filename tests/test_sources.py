@@ -74,3 +74,19 @@ def test_log_round_trip_and_arff(spark, tmp_path):
     assert [r.value for r in spark.read.text(str(tmp_path / "a" / "1-data")).collect()] == ["0.5,1.0,0", "1.0,2.0,1"]
     assert "class {0,1}" in "\n".join(r.value for r in spark.read.text(str(tmp_path / "a" / "0-header")).collect())
     assert logs.with_defaults(row, {"noise": 0}).first().noise == 0
+
+
+def test_external_results_cache_and_options(spark, tmp_path):
+    write(tmp_path / "x.csv", [("instances", "classifications correct (percent)"), (10, 75.0)])
+    r = logs.read_external(spark, str(tmp_path / "x.csv")).first()
+    assert (r.example, r.overall_accuracy, r.ram_use) == (10.0, 0.75, None)
+    calls = []
+
+    def make():
+        calls.append(1)
+        return spark.range(3)
+
+    path = str(tmp_path / "cache")
+    assert logs.cached(make, path, spark).count() == logs.cached(make, path, spark).count() == 3 and len(calls) == 1
+    logs.write_options(spark, {"seed": 1}, str(tmp_path / "o"))
+    assert logs.read_options(spark, str(tmp_path / "o")).first().seed == 1
