@@ -594,7 +594,7 @@ class AdaptiveSystem:
         better = [s for s in self.states.values() if s.id != active.id and s.print is not None and self._beats(active, s) and s.likelihood.mean >= o.min_estimated_likelihood]
         bg = self.background
         rejected = active.stable and active.likelihood.width >= 5 and active.likelihood.mean < o.min_estimated_likelihood
-        if better and (active.stable or max(s.likelihood.mean for s in better) >= o.min_estimated_likelihood):
+        if better:
             self._switch(max(better, key=lambda s: (s.posterior.mean, s.id)), False)
         elif rejected and len(bg.record) >= 2 and bg.likelihood.mean > active.likelihood.mean and bg.seen >= o.window_size:
             self._switch(bg, False)
