@@ -379,7 +379,8 @@ fp AS (SELECT state, source, feature, avg(value) AS mean, coalesce(stddev_samp(v
 def _stats(spark, d) -> DataFrame:
     log = experience_log(spark, d)
     s = windows.window_stats(log, ["value", "k"], W, EVERY, ignore=("skew", "kurtosis"))
-    return s.join(log.select("stream_id", "example", F.col("active_model").alias("state")), ["stream_id", "example"])
+    # Weightings read these few rows several times; kept so that the frames are computed once. Lost parts are computed again.
+    return s.join(log.select("stream_id", "example", F.col("active_model").alias("state")), ["stream_id", "example"]).persist()
 
 
 @query(f"{STATS} SELECT stream_id, example, source, feature, round(value, 6) AS value FROM stats")
