@@ -201,7 +201,7 @@ def _shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, shingles array<long>")
 
 
-def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, views: int = 12, sample: int = 3, leaders: int = 8) -> DataFrame:
+def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, views: int = 32, sample: int = 6, leaders: int = 8) -> DataFrame:
     """(doc_id, keeper): documents that repeat another one, with the smallest doc_id of their group.
 
     Two bits of one fingerprint cannot tell a Jaccard similarity of 0.8, so each document gets one SimHash per
