@@ -33,7 +33,7 @@ def _run(system: str):
     return run
 
 
-for _name, _system in (("adaptive_run", "CC"), ("adaptive_run_map", "cc_map"), ("fingerprint_run", "ficsum"), ("lower_bound_run", "lower_bound"), ("middle_bound_run", "middle_bound"), ("upper_bound_run", "upper_bound"), ("weighted_majority_run", "dwm"), ("adaptive_forest_run", "arf")):
+for _name, _system in (("adaptive_run", "CC"), ("adaptive_run_map", "cc_map"), ("fingerprint_run", "fingerprint"), ("lower_bound_run", "lower_bound"), ("middle_bound_run", "middle_bound"), ("upper_bound_run", "upper_bound"), ("weighted_majority_run", "dwm"), ("adaptive_forest_run", "arf")):
     query(None, _name)(_run(_system))
 
 

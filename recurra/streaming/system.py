@@ -737,7 +737,7 @@ def make(name: str, features: int, options: Options):
         return AdaptiveSystem(features, replace(options, map_selection=True))
     if low == "cc_nomerge":
         return AdaptiveSystem(features, replace(options, merge=False))
-    if low == "ficsum":
+    if low == "fingerprint":
         return FingerprintSystem(features, options)
     if low in ("lower_bound", "middle_bound", "upper_bound"):
         return BoundSystem(features, options, low.split("_")[0])

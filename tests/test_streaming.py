@@ -127,7 +127,7 @@ def stagger(n, repeats=2, seed=1):
     return np.vstack(xs), np.concatenate(ys), cs
 
 
-@pytest.mark.parametrize(("name", "rows", "least"), [("CC", 1000, 0.93), ("ficsum", 2000, 0.9), ("upper_bound", 1000, 0.97), ("arf", 500, 0.9)])
+@pytest.mark.parametrize(("name", "rows", "least"), [("CC", 1000, 0.93), ("fingerprint", 2000, 0.9), ("upper_bound", 1000, 0.97), ("arf", 500, 0.9)])
 def test_systems_follow_recurring_concepts(name, rows, least):
     x, y, c = stagger(rows)
     s, right, models = make(name, 3, Options()), 0, set()
