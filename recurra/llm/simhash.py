@@ -201,15 +201,15 @@ def _shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, shingles array<long>")
 
 
-def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, views: int = 32, sample: int = 6, leaders: int = 8) -> DataFrame:
+def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, views: int = 32, sample: int = 6, leaders: int = 2) -> DataFrame:
     """(doc_id, keeper): documents that repeat another one, with the smallest doc_id of their group.
 
     Two bits of one fingerprint cannot tell a Jaccard similarity of 0.8, so each document gets one SimHash per
     sampled view: of the `sample` shingles that are least under the view's own order. Two texts agree in a view with
     probability similarity ** sample; equal fingerprints (grid cells at zero bits) give candidates, which are
     verified by the exact Jaccard similarity of their shingle sets. In a group, members are compared with `leaders`
-    of them, and again without those and what they matched, with four times as many leaders up to 128, until none is
-    left; no group emits all its pairs at once.
+    of them, those that meet most others, and again without those and what they matched, with twice as many leaders up
+    to 128, until none is left; no group emits all its pairs at once.
     Equal texts are one; null and wordless texts are equal to each other only if byte-equal (null as empty).
     Rows with a null doc_id are never listed.
     """
@@ -220,13 +220,17 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, view
     keyed = first.select("doc_id", F.posexplode("fps").alias("view", "fp"))
     key = ["view", "cell", "fp"]
     keyed = keyed.withColumn("cell", popcounts(F.col("fp")))
-    crowd = keyed.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    left = save(keyed.join(crowd, key), "left")
+    crowd = keyed.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    met_with = keyed.join(crowd, key)
+    # A text that others were made from meets more of them than they meet each other; it should lead.
+    degree = met_with.groupBy("doc_id").agg(F.sum("n").alias("degree"))
+    left = save(met_with.drop("n").join(degree, "doc_id"), "left")
     tested = None
     while not left.isEmpty():
-        order = Window.partitionBy(*key).orderBy("doc_id")
+        order = Window.partitionBy(*key).orderBy(F.desc("degree"), "doc_id")
         leads = left.withColumn("r", F.row_number().over(order)).where(F.col("r") <= leaders).select(*key, F.col("doc_id").alias("a"))
-        met = save(left.join(leads, key).where("a < doc_id").select(*key, "a", F.col("doc_id").alias("b")), "met")
+        met = left.join(leads, key).where("a <> doc_id")
+        met = save(met.select(*key, "doc_id", F.least("a", "doc_id").alias("a"), F.greatest("a", "doc_id").alias("b")), "met")
         pairs = met.select("a", "b").distinct()
         if tested is not None:
             pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
@@ -243,12 +247,12 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, view
         judged = save(judged, "judged")
         tested = judged if tested is None else tested.union(judged)
         same = tested.where("same").select("a", "b")
-        gone = met.join(same, ["a", "b"], "left_semi").select(*key, F.col("b").alias("doc_id"))
+        gone = met.join(same, ["a", "b"], "left_semi").select(*key, "doc_id")
         gone = gone.union(leads.withColumnRenamed("a", "doc_id")).distinct()
         left = left.join(gone, [*key, "doc_id"], "left_anti")
         again = left.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
         left = save(left.join(again, key, "left_semi"), "left")
-        leaders = min(4 * leaders, max(leaders, 128))
+        leaders = min(2 * leaders, max(leaders, 128))
     spark = docs.sparkSession
     same = tested.where("same").select("a", "b") if tested is not None else spark.createDataFrame([], "a long, b long")
     # Node ids by hash, so that contraction takes few rounds whatever the order of the ids.
