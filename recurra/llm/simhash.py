@@ -208,8 +208,8 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, view
     sampled view: of the `sample` shingles that are least under the view's own order. Two texts agree in a view with
     probability similarity ** sample; equal fingerprints (grid cells at zero bits) give candidates, which are
     verified by the exact Jaccard similarity of their shingle sets. In a group, members are compared with `leaders`
-    of them, those that meet most others, and again without those and what they matched, with twice as many leaders up
-    to 128, until none is left; no group emits all its pairs at once.
+    of them, those that meet most others, and again without those, with four times as many leaders up to 128, until all
+    that are left are of one component: only pairs whose link is known from other pairs stay untested.
     Equal texts are one; null and wordless texts are equal to each other only if byte-equal (null as empty).
     Rows with a null doc_id are never listed.
     """
@@ -224,17 +224,18 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, view
     met_with = keyed.join(crowd, key)
     # A text that others were made from meets more of them than they meet each other; it should lead.
     degree = met_with.groupBy("doc_id").agg(F.sum("n").alias("degree"))
-    left = save(met_with.drop("n").join(degree, "doc_id"), "left")
-    tested = None
+    left = save(met_with.drop("n").join(degree, "doc_id").withColumns({"root": F.col("doc_id"), "alike": F.lit(1).cast("long")}), "left")
+    spark = docs.sparkSession
+    tested = spark.createDataFrame([], "a long, b long, same boolean")
+    roots = spark.createDataFrame([], "least long, root long")
     while not left.isEmpty():
-        order = Window.partitionBy(*key).orderBy(F.desc("degree"), "doc_id")
-        leads = left.withColumn("r", F.row_number().over(order)).where(F.col("r") <= leaders).select(*key, F.col("doc_id").alias("a"))
-        met = left.join(leads, key).where("a <> doc_id")
-        met = save(met.select(*key, "doc_id", F.least("a", "doc_id").alias("a"), F.greatest("a", "doc_id").alias("b")), "met")
-        pairs = met.select("a", "b").distinct()
-        if tested is not None:
-            pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        pairs = save(pairs, "pairs")
+        # Members of the rarer components of a group lead first: with them gone, the group is one component.
+        order = Window.partitionBy(*key).orderBy("alike", F.desc("degree"), "doc_id")
+        leads = left.withColumn("r", F.row_number().over(order)).where(F.col("r") <= leaders)
+        leads = save(leads.select(*key, F.col("doc_id").alias("lead"), F.col("root").alias("lead_root")), "leads")
+        met = left.join(leads, key).where("root <> lead_root")
+        pairs = met.select(F.least("lead", "doc_id").alias("a"), F.greatest("lead", "doc_id").alias("b")).distinct()
+        pairs = save(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
         wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
         unique = by_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), save(wanted, "wanted"), "left_semi")
         texts = save(_shingle_sets(unique.dropDuplicates(["doc_id"]), shingle), "sets")
@@ -244,20 +245,19 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, view
             .join(texts.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
             .select("a", "b", (common / (F.size("sa") + F.size("sb") - common) >= similarity).alias("same"))
         )
-        judged = save(judged, "judged")
-        tested = judged if tested is None else tested.union(judged)
+        tested = tested.union(save(judged, "judged"))
         same = tested.where("same").select("a", "b")
-        gone = met.join(same, ["a", "b"], "left_semi").select(*key, "doc_id")
-        gone = gone.union(leads.withColumnRenamed("a", "doc_id")).distinct()
-        left = left.join(gone, [*key, "doc_id"], "left_anti")
-        again = left.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-        left = save(left.join(again, key, "left_semi"), "left")
-        leaders = min(2 * leaders, max(leaders, 128))
-    spark = docs.sparkSession
-    same = tested.where("same").select("a", "b") if tested is not None else spark.createDataFrame([], "a long, b long")
-    # Node ids by hash, so that contraction takes few rounds whatever the order of the ids.
-    hashed = same.select(F.struct(F.xxhash64("a").alias("h"), F.col("a").alias("id")).alias("a"), F.struct(F.xxhash64("b").alias("h"), F.col("b").alias("id")).alias("b"))
-    roots = components(hashed).select(F.col("node.id").alias("least"), "root")
+        # Node ids by hash, so that contraction takes few rounds whatever the order of the ids.
+        hashed = same.select(*(F.struct(F.xxhash64(x).alias("h"), F.col(x).alias("id")).alias(x) for x in ("a", "b")))
+        roots = components(hashed).select(F.col("node.id").alias("least"), F.col("root.id").alias("root"))
+        # A leader has met all of its group. What is left can link only members of different components.
+        left = left.drop("root", "alike").join(leads.select(*key, F.col("lead").alias("doc_id")), [*key, "doc_id"], "left_anti")
+        left = left.join(roots.withColumnRenamed("least", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+        left = save(left, "rooted")
+        several = left.groupBy(*key).agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select(*key)
+        alike = left.groupBy(*key, "root").agg(F.count(F.lit(1)).alias("alike")).join(several, key)
+        left = save(left.join(alike, [*key, "root"]), "left")
+        leaders = min(4 * leaders, max(leaders, 128))
     named = roots.join(roots.groupBy("root").agg(F.min("least").alias("keeper")), "root").select("least", "keeper")
     groups = exact.join(named, "least", "left").select("copy", F.coalesce("keeper", "least").alias("keeper"))
     return seen.select("doc_id", "copy").join(groups, "copy").where("doc_id <> keeper").select("doc_id", "keeper").distinct()

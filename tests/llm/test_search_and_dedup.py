@@ -152,6 +152,41 @@ def test_near_copies_by_jaccard(spark):
     assert kept.columns == df.columns and kept.count() == len(docs) - len(got)
 
 
+def near_groups(texts, shingle=5, similarity=0.8):
+    """Per text the least index of its component, by comparing all pairs."""
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    words = [t.split() for t in texts]
+    sets = [{tuple(w[k : k + shingle]) for k in range(max(len(w) - shingle + 1, 1))} if w else set() for w in words]
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        a, b = find(i), find(j)
+        if a != b and sets[i] and (texts[i] == texts[j] or len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= similarity):
+            root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(texts))]
+
+
+def test_near_copies_follow_chains_of_copies(spark):
+    rng = np.random.default_rng(17)
+    base = [f"w{x}" for x in rng.integers(0, 10_000, 200)]
+    texts = [" ".join(base)]
+    for c in range(60):
+        one = list(base)
+        one[3 * c + 5] = f"e{c}"
+        far = list(one)
+        for j in range(4):
+            far[(3 * c + 45 + 37 * j) % 200] = f"f{c}x{j}"
+        texts += [" ".join(one), " ".join(far)]
+    want = near_groups(texts)
+    assert set(want) == {0}
+    got = simhash.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {r.doc_id: r.keeper for r in got.collect()} == {i: 0 for i in range(1, len(texts))}
+
+
 def test_drop_near_copies_edges(spark):
     rows = [(None, "a b c d e f g"), (None, None), (1, "a b c d e f g"), (1, "a b c d e f g"), (2, "A B c d e f g"), (3, None), (4, ""), (5, "a b c d e f g")]
     kept = simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
