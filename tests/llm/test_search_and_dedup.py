@@ -187,6 +187,25 @@ def test_near_copies_follow_chains_of_copies(spark):
     assert {r.doc_id: r.keeper for r in got.collect()} == {i: 0 for i in range(1, len(texts))}
 
 
+def test_near_copies_miss_no_pair(spark):
+    rng = np.random.default_rng(23)
+    texts = []
+    for g in range(1000):
+        one = [f"g{g}w{x}" for x in range(49)]
+        far = list(one)
+        far[7] = far[40 if g % 2 else 8] = f"e{g}"  # 35 of 55 or 39 of 51 shingles shared: no copy
+        near = list(one)
+        near[int(rng.integers(5, 44))] = f"n{g}"  # 40 of 50 shingles: exactly 0.8
+        texts += [" ".join(one), " ".join(far), " ".join(near)]
+    want = near_groups_of_blocks(texts, 3)
+    got = {r.doc_id: r.keeper for r in simhash.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got.get(i, i) for i in range(len(texts))] == want
+
+
+def near_groups_of_blocks(texts, size):
+    return [at + i for at in range(0, len(texts), size) for i in near_groups(texts[at : at + size])]
+
+
 def test_drop_near_copies_edges(spark):
     rows = [(None, "a b c d e f g"), (None, None), (1, "a b c d e f g"), (1, "a b c d e f g"), (2, "A B c d e f g"), (3, None), (4, ""), (5, "a b c d e f g")]
     kept = simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
