@@ -202,6 +202,21 @@ def test_near_copies_miss_no_pair(spark):
     assert [got.get(i, i) for i in range(len(texts))] == want
 
 
+def test_near_copies_of_short_texts(spark):
+    rng = np.random.default_rng(29)
+    texts = []
+    for g in range(300):
+        one = [f"g{g}w{x}" for x in range(int(rng.integers(1, 16)))]
+        texts += [" ".join(one), " ".join([*one, "more"]), " ".join([*one[:-1], "other"])]
+    for g, n in enumerate((8, 9, 9)):  # 4 of 5, 5 of 6 and 5 of 6 shingles, from either side
+        one = [f"s{g}w{x}" for x in range(n)]
+        texts += [" ".join(one), " ".join([*one, "end"]), " ".join(["start", *one])]
+    want = near_groups(texts)
+    got = {r.doc_id: r.keeper for r in simhash.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got.get(i, i) for i in range(len(texts))] == want
+    assert all(want[-9 + 3 * g :][:2] == [len(texts) - 9 + 3 * g] * 2 for g in range(2))
+
+
 def near_groups_of_blocks(texts, size):
     return [at + i for at in range(0, len(texts), size) for i in near_groups(texts[at : at + size])]
 
