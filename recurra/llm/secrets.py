@@ -1,7 +1,7 @@
 """Secret scanning: pattern candidates, and a small character convolutional network that scores each in its context.
 
-Pattern findings always stay. The network reads every candidate, the pattern findings and other long tokens, with the
-characters before it; it is trained in numpy on labelled findings. Its outputs are calibrated (Platt), and the
+Pattern findings always stay. The network reads every candidate, the pattern findings and other long tokens, whole and with
+the characters before and after it, in overlapping windows of which the highest score counts; it is trained in numpy on labelled findings. Its outputs are calibrated (Platt), and the
 threshold is the highest that keeps the wanted recall on findings held out of the training. Tokens above it are added.
 """
 
@@ -11,6 +11,7 @@ import hashlib
 import re
 import string
 from bisect import bisect_left
+from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import lru_cache
 from itertools import accumulate
@@ -28,7 +29,7 @@ KINDS = ("assign", "access", "hex", "learned")
 _WORDS = ("passw", "secret", "token", "apikey", "api_key")
 
 _TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-BEFORE, INSIDE = 24, 56
+BEFORE, INSIDE, AFTER = 24, 56, 16
 _CHARS = string.ascii_letters + string.digits + string.punctuation + " \n\t"
 _CODE = np.full(0x110000, len(_CHARS) + 1, np.int16)
 _CODE[[ord(c) for c in _CHARS]] = np.arange(1, len(_CHARS) + 1)
@@ -65,15 +66,23 @@ def candidates(text: str | None, base: list[tuple[int, int, int]]) -> list[tuple
 
 
 def _view(text: str, start: int, end: int) -> np.ndarray:
-    """Codes of the context before a candidate and of its first characters, padded with 0."""
-    out = np.zeros(BEFORE + INSIDE, np.int16)
-    before, inside = text[max(0, start - BEFORE) : start], text[start : min(end, start + INSIDE)]
+    """Codes of the context before a candidate, of its first characters, and of the context after, padded with 0."""
+    out = np.zeros(BEFORE + INSIDE + AFTER, np.int16)
+    stop = min(end, start + INSIDE)
+    before, inside = text[max(0, start - BEFORE) : start], text[start : stop + AFTER]
     for part, at in ((before, BEFORE - len(before)), (inside, BEFORE)):
         if part:
             out[at : at + len(part)] = _CODE[np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32)]
     return out
 
 
+def _windows(start: int, end: int) -> list[int]:
+    """Starts of the windows that cover a candidate; each but the first overlaps the one before by half."""
+    if end - start <= INSIDE:
+        return [start]
+    return [*range(start, end - INSIDE, INSIDE // 2), end - INSIDE]
+
+
 @dataclass
 class Network:
     """Embedding, one convolution, ReLU, maximum over places, a logistic unit; then Platt's scale and shift."""
@@ -219,6 +228,28 @@ def _text(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
+def _scores(net: Network, spans: Iterable[tuple[str, int, int]]) -> list[float]:
+    """Per (text, start, end) the highest probability of its windows, in bounded blocks."""
+    views, owners, best = [], [], []
+
+    def flush():
+        for i, q in zip(owners, net.probability(np.stack(views)).tolist(), strict=True):
+            best[i] = max(best[i], q)
+        views.clear()
+        owners.clear()
+
+    for i, (text, start, end) in enumerate(spans):
+        best.append(0.0)
+        for at in _windows(start, end):
+            views.append(_view(text, at, end))
+            owners.append(i)
+            if len(views) == 4096:
+                flush()
+    if views:
+        flush()
+    return best
+
+
 def scan(docs: DataFrame, network: Network | None = None) -> DataFrame:
     """Per row: doc_id, findings with scores, base counts, the digest of the base spans, and all spans as text.
 
@@ -230,12 +261,12 @@ def scan(docs: DataFrame, network: Network | None = None) -> DataFrame:
     def run(batches):
         net = shared.value
         for b in batches:
-            base, more, views, text = [], [], [], b.column(1).to_pylist()
+            base, more, text = [], [], b.column(1).to_pylist()
             for t in text:
                 base.append(base_spans(t))
                 more.append(candidates(t, base[-1]))
-                views += [_view(t, s, e) for s, _, e in base[-1]] + [_view(t, s, e) for s, e in more[-1]]
-            p = net.probability(np.stack(views)).tolist() if views else []
+            spans = ((t, s, e) for t, own, extra in zip(text, base, more, strict=True) for s, e in [*((s, e) for s, _, e in own), *extra])
+            p = _scores(net, spans)
             out, at = [], 0
             for d, own, extra in zip(b.column(0).to_pylist(), base, more, strict=True):
                 scored = [(x, p[at + i]) for i, x in enumerate(own)]

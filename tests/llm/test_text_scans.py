@@ -59,6 +59,28 @@ def test_network_recall_and_precision():
     assert (p[y == 0] >= net.threshold).mean() <= 0.05
 
 
+def test_secrets_after_a_long_harmless_beginning(spark):
+    rng = random.Random(41)
+    chars = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    texts, plain = [], []
+    for _ in range(40):
+        path = "/".join(rng.choice(["conderlo", "mention", "verraun", "lotiing", "baender"]) for _ in range(40))[:160]
+        texts.append("see " + path + "/" + "".join(rng.choices(chars, k=40)) + " end")
+        plain.append("see " + path + "/lotiing/conderlo/verraun/mention/12 end")
+    got = {r.doc_id: r.spans for r in secrets.scan(docs(spark, texts + plain)).collect()}
+    assert sum("learned" in got[i] for i in range(40)) >= 36
+    assert sum("learned" in got[40 + i] for i in range(40)) <= 2
+    assert "learned:4:" in got[0]
+
+
+def test_secret_windows_read_every_character():
+    for n in (1, 20, 56, 57, 84, 200, 1001):
+        at = secrets._windows(7, 7 + n)
+        assert at[0] == 7 and {i for a in at for i in range(a, min(a + secrets.INSIDE, 7 + n))} == set(range(7, 7 + n))
+    a, b = ("x" * 30 + "A1" * 12 + tail for tail in (" plain words", "') # secret"))
+    assert (secrets._view(a, 30, 54) != secrets._view(b, 30, 54)).any()
+
+
 # --- personal data ---
 
 
