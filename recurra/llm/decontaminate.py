@@ -1,13 +1,14 @@
 """Benchmark decontamination by greedy string tiling.
 
-Every document is scanned once for seeds, runs of `seed` words that it shares with a benchmark item. Where there
-are any, the document's words around the seeds and the item are tiled: the longest matches are marked first, found
-by running Karp-Rabin hashes, and no word is marked twice. The share of the item that its tiles cover does not depend
-on their order, so reordered passages are caught.
+Every document is scanned once for seeds, runs of `seed` words that it shares with a benchmark item, by running
+Karp-Rabin hashes. Where there are any, the item and the document's words in seeds are tiled: the longest match that is
+still unmarked is marked, again and again, and no word is marked twice. The share of the item that its tiles cover does
+not depend on their order, so reordered passages are caught.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,72 +29,94 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").lower().encode("utf-8", "replace").translate(_TABLE).split()
 
 
-def _windows(ids: np.ndarray, n: int) -> np.ndarray:
-    """Polynomial hash, modulo 2^64, of each run of n ids."""
-    h = np.zeros(max(len(ids) - n + 1, 0), np.uint64)
-    for k in range(n):
-        h = h * _P1 + (ids[k : k + len(h)].astype(np.uint64) + np.uint64(1)) * _P2
-    return h
+#: An odd number and its inverse modulo 2^64, so that the weight of a window's first word can be divided out.
+_Q = 0xD6E8FEB86659FD93
+_Q_INVERSE = pow(_Q, -1, 1 << 64)
 
 
-def tile(item: np.ndarray, doc: np.ndarray, least: int) -> np.ndarray:
-    """Mask of the item's words covered by greedy tiles of at least `least` words, longest first.
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
 
-    Negative ids in `doc` match nothing. Ties go to the earlier place in the item, then in the document.
-    """
-    used_item, used_doc = np.zeros(len(item), bool), doc < 0
-    size = min(len(item), max(least, 20))
-    while size >= least:
-        longest, matches = size, []
-        free_doc = _free(used_doc, size)
-        free_item = _free(used_item, size)
-        if len(free_doc) and len(free_item):
-            where: dict[int, list[int]] = {}
-            for at, h in zip(free_doc.tolist(), _windows(doc, size)[free_doc].tolist(), strict=True):
-                where.setdefault(h, []).append(at)
-            hashes = _windows(item, size)
-            for a in free_item.tolist():
-                for b in where.get(int(hashes[a]), ()):
-                    n = _extend(item, doc, used_item, used_doc, a, b)
-                    if n >= size:
-                        matches.append((-n, a, b))
-                        longest = max(longest, n)
-        if longest > 2 * size:
-            size = longest
-            continue
-        for n, a, b in sorted(matches):
-            n = -n
-            # A match that an earlier tile has cut is shorter now; it is found again at its new length.
-            if not used_item[a : a + n].any() and not used_doc[b : b + n].any():
-                used_item[a : a + n] = True
-                used_doc[b : b + n] = True
-        cut = [n for n, a, b in matches if not used_item[a]]
-        if size > least:
-            size = max(least, size // 2) if not cut or size > 2 * least else size - 1
-        elif cut and _again(item, doc, used_item, used_doc, size):
-            continue
-        else:
-            break
-    return used_item
 
+def _windows(ids: np.ndarray, n: int) -> np.ndarray:
+    """Karp-Rabin hash, modulo 2^64, of each run of n ids, from running sums: the cost does not depend on n."""
+    if len(ids) < n:
+        return np.zeros(0, np.uint64)
+    x = (ids.astype(np.uint64) + np.uint64(2)) * _P1
+    x = (x ^ (x >> np.uint64(29))) * _P2
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x * _powers(_Q, len(x)), dtype=np.uint64)])
+    return (total[n:] - total[:-n]) * _powers(_Q_INVERSE, len(x) - n + 1)
 
-def _again(item, doc, used_item, used_doc, size) -> bool:
-    """Whether an unmarked match of `size` words is left."""
-    a, b = _free(used_item, size), _free(used_doc, size)
-    return bool(len(a) and len(b) and np.isin(_windows(item, size)[a], _windows(doc, size)[b]).any())
 
+#: Pairs of equal seeds that are held at once while the matches of an item and a document are listed.
+PAIRS = 1 << 21
 
-def _free(used: np.ndarray, n: int) -> np.ndarray:
-    """Starts of runs of n unmarked words."""
-    total = np.concatenate([[0], np.cumsum(used)])
-    return np.flatnonzero(total[n:] == total[:-n]) if len(used) >= n else np.zeros(0, int)
 
+def _matches(item: np.ndarray, doc: np.ndarray, least: int) -> Iterator[tuple[int, int, int]]:
+    """(length, place in the item, place in the document) of every maximal match of `least` words or more.
 
-def _extend(item, doc, used_item, used_doc, a: int, b: int) -> int:
-    n = 0
-    while a + n < len(item) and b + n < len(doc) and item[a + n] == doc[b + n] and not used_item[a + n] and not used_doc[b + n]:
-        n += 1
-    return n
+    Seeds of `least` words that lie next to each other on a diagonal are one match. Seed pairs are listed in blocks of the
+    document; a match that goes on in the next block is put together again.
+    """
+    own = _windows(item, least)
+    order = np.argsort(own, kind="stable")
+    own = own[order]
+    h = _windows(doc, least)
+    lo, hi = np.searchsorted(own, h, "left"), np.searchsorted(own, h, "right")
+    count = hi - lo
+    some = np.flatnonzero(count)
+    block = (np.cumsum(count[some]) - 1) // PAIRS
+    parts = []
+    for part in np.split(some, np.flatnonzero(np.diff(block)) + 1):
+        k = count[part]
+        b = np.repeat(part, k)
+        a = order[np.repeat(lo[part], k) + np.arange(len(b)) - np.repeat(np.cumsum(k) - k, k)]
+        same = np.ones(len(b), bool)
+        for i in range(least):
+            same &= item[a + i] == doc[b + i]
+        a, b = a[same], b[same]
+        line = np.lexsort((a, b - a))
+        a, b = a[line], b[line]
+        new = np.ones(len(a), bool)
+        new[1:] = (b[1:] - a[1:] != b[:-1] - a[:-1]) | (a[1:] != a[:-1] + 1)
+        first = np.flatnonzero(new)
+        parts.append((b[first] - a[first], a[first], np.diff(np.append(first, len(a)))))
+    if not parts:
+        return
+    diagonal, a, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    line = np.lexsort((a, diagonal))
+    diagonal, a, n = diagonal[line], a[line], n[line]
+    new = np.ones(len(a), bool)
+    new[1:] = (diagonal[1:] != diagonal[:-1]) | (a[1:] != a[:-1] + n[:-1])
+    first = np.flatnonzero(new)
+    if len(first):
+        yield from zip((np.add.reduceat(n, first) + least - 1).tolist(), a[first].tolist(), (a + diagonal)[first].tolist(), strict=True)
+
+
+def tile(item: np.ndarray, doc: np.ndarray, least: int) -> np.ndarray:
+    """Mask of the item's words covered by greedy tiles of at least `least` words, longest first.
+
+    Negative ids in `doc` match nothing. Ties go to the earlier place in the item, then in the document. What an earlier
+    tile leaves of a match waits for its turn at its new length.
+    """
+    used_item, used_doc = np.zeros(len(item), bool), np.zeros(len(doc), bool)
+    queue = [(-n, a, b) for n, a, b in _matches(item, doc, least)]
+    heapq.heapify(queue)
+    left = len(item)
+    while queue and left >= least:
+        n, a, b = heapq.heappop(queue)
+        taken = used_item[a : a - n] | used_doc[b : b - n]
+        if not taken.any():
+            used_item[a : a - n] = used_doc[b : b - n] = True
+            left += n
+            continue
+        edges = np.flatnonzero(np.diff(np.concatenate([[True], taken, [True]]).astype(np.int8)))
+        for start, stop in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+            if stop - start >= least:
+                heapq.heappush(queue, (start - stop, a + start, b + start))
+    return used_item
 
 
 class _Block:
@@ -105,10 +128,11 @@ class _Block:
             ids = [self.vocab.setdefault(w, len(self.vocab)) for w in words(text)]
             if ids:
                 self.items.append((item_id, np.array(ids, np.int64)))
+        self.own = [np.unique(_windows(ids, min(seed, len(ids)))) for _, ids in self.items]
         # Items of fewer words than a seed have their own seed length, all their words.
         self.seeds: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for n in {min(seed, len(ids)) for _, ids in self.items}:
-            pairs = [(h, i) for i, (_, ids) in enumerate(self.items) if min(seed, len(ids)) == n for h in np.unique(_windows(ids, n)).tolist()]
+            pairs = [(h, i) for i, (_, ids) in enumerate(self.items) if min(seed, len(ids)) == n for h in self.own[i].tolist()]
             pairs.sort()
             self.seeds[n] = np.array([h for h, _ in pairs], np.uint64), np.array([i for _, i in pairs])
 
@@ -117,7 +141,6 @@ class _Block:
         get = self.vocab.get
         own = words(text)
         doc = np.fromiter((get(w, -1) for w in own), np.int64, len(own))
-        hits: dict[int, list[np.ndarray]] = {}
         known = np.concatenate([[0], np.cumsum(doc < 0)])
         for n, (hashes, which) in self.seeds.items():
             if len(doc) < n:
@@ -127,27 +150,24 @@ class _Block:
                 continue
             h = _windows(doc, n)[starts]
             lo, hi = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
-            for at, a, b in zip(starts[lo < hi].tolist(), lo[lo < hi].tolist(), hi[lo < hi].tolist(), strict=True):
-                for i in which[a:b].tolist():
-                    hits.setdefault(i, []).append(at)
-        for i, at in hits.items():
-            item_id, ids = self.items[i]
-            n = min(self.seed, len(ids))
-            # Only words in a seed can be in a tile; -1 parts runs that do not touch.
-            mask = np.zeros(len(doc) + 1, np.int64)
-            starts = np.array(at)
-            np.add.at(mask, starts, 1)
-            np.add.at(mask, starts + n, -1)
-            inside = np.cumsum(mask)[:-1] > 0
-            near = inside.copy()
-            near[1:] |= inside[:-1]
-            yield item_id, len(ids), int(tile(ids, np.where(inside, doc, -1)[near], n).sum())
+            some = np.flatnonzero(hi > lo)
+            for i in np.unique(np.concatenate([which[a:b] for a, b in {*zip(lo[some].tolist(), hi[some].tolist(), strict=True)}] or [np.zeros(0, int)])).tolist():
+                item_id, ids = self.items[i]
+                at = starts[some][np.isin(h[some], self.own[i])]
+                # Only words in a seed can be in a tile; one -1 parts runs that do not touch.
+                mask = np.zeros(len(doc) + 1, np.int64)
+                mask[at] += 1
+                np.add.at(mask, at + n, -1)
+                inside = np.cumsum(mask)[:-1] > 0
+                near = inside.copy()
+                near[1:] |= inside[:-1]
+                yield item_id, len(ids), int(tile(ids, np.where(inside, doc, -1)[near], n).sum())
 
 
 def _bench_blocks(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[int, str]]]:
     """The items in order of id, in blocks of about `limit` characters; only one block is on the driver at a time."""
     block, chars = [], 0
-    items = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("long"), "text")
+    items = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
     for r in items.orderBy("item_id", "text").toLocalIterator():
         block.append((r[0], r[1]))
         chars += len(r[1])
@@ -165,7 +185,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, seed: int = 5, coverage: float
     """(doc_id, item_id, item_words, covered, coverage): the items that a document holds to `coverage` or more.
 
     Whole texts are scanned. Null or empty texts and items match nothing. Items shorter than `seed` words must
-    occur whole. Repeated rows are reported as often as they occur; a null doc_id is reported as null.
+    occur whole. Repeated rows, of documents or items, are reported as often as they occur; a null doc_id or item_id is
+    reported as null.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = None
@@ -200,7 +221,8 @@ def _pass(rows: DataFrame, items: list[tuple[int, str]], seed: int, coverage: fl
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, seed: int = 5, coverage: float = 0.8, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """`docs`, columns as they are, without the rows whose text holds a benchmark item to `coverage` or more.
 
-    Rows are judged one by one, so null ids, repeated rows and clashing column names do not matter.
+    Rows are judged one by one, so null ids, repeated rows and clashing column names do not matter; items count whether
+    or not they have an id.
     """
     at = docs.columns.index("text")
     for items in _bench_blocks(benchmark, block_chars):

@@ -182,7 +182,7 @@ def item(seed, n):
 
 def test_leaks_whole_reordered_and_partial(spark):
     a, b, c = item(1, 40), item(2, 3), item(3, 30)
-    bench = spark.createDataFrame([(1, " ".join(a)), (2, " ".join(b)), (3, " ".join(c)), (4, None), (5, ""), (None, "x y z")], "item_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(a)), (2, " ".join(b)), (3, " ".join(c)), (4, None), (5, ""), (None, "x1 y1 z1")], "item_id long, text string")
     pad = " ".join(f"p{i}" for i in range(50))
     texts = [
         f"{pad} {' '.join(a)} {pad}", f"{' '.join(a[20:])} {pad} {' '.join(a[:20])}", f"{pad} {' '.join(a[:20])}", f"{pad}, {' '.join(b).upper()}! {pad}",
@@ -224,8 +224,44 @@ def test_tiling_covers_as_the_plain_form(seed):
     parts = [a[i:j] for i, j in zip([0, *cut], [*cut, 60])]
     rng.shuffle(parts)
     b = [x for p in parts for x in [*p, *[1000 + rng.randrange(9)] * rng.randrange(3)]]
-    got = int(decontaminate.tile(np.array(a), np.array(b), 5).sum())
-    assert got >= 0.9 * plain_tiles(a, b, 5)
+    assert int(decontaminate.tile(np.array(a), np.array(b), 5).sum()) == plain_tiles(a, b, 5)
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_tiling_of_repetitive_texts_equals_the_plain_form(seed, monkeypatch):
+    rng = random.Random(1000 + seed)
+    monkeypatch.setattr(decontaminate, "PAIRS", rng.choice([1, 7, 50, 1 << 21]))
+    letters, least = rng.randrange(1, 6), rng.randrange(1, 6)
+    for _ in range(10):
+        a = [rng.randrange(letters) for _ in range(rng.randrange(1, 30))]
+        b = [rng.randrange(-1, letters) for _ in range(rng.randrange(0, 40))]
+        a = a + a[: rng.randrange(12)]
+        b = b + a[rng.randrange(len(a)) :] + b[: rng.randrange(8)]
+        assert int(decontaminate.tile(np.array(a), np.array(b), least).sum()) == plain_tiles(a, b, least), (a, b, least)
+
+
+def test_windows_are_equal_where_the_words_are():
+    rng = np.random.default_rng(3)
+    ids = rng.integers(0, 4, 3000)
+    for n in (1, 2, 5, 17):
+        h = decontaminate._windows(ids, n)
+        words = [tuple(ids[i : i + n]) for i in range(len(ids) - n + 1)]
+        assert len(h) == len(words) and len(set(h.tolist())) == len(set(words)) == len(set(zip(h.tolist(), words)))
+    assert len(decontaminate._windows(ids[:3], 5)) == 0
+
+
+def test_leaks_of_long_repetitive_texts_are_fast_and_of_items_without_an_id():
+    block = decontaminate._Block([(None, "la " * 60), (7, " ".join(item(5, 30)))], 5)
+    got = sorted(block.find("la " * 200_000 + " ".join(item(5, 30))), key=str)
+    assert got == [(7, 30, 30), (None, 60, 60)]
+
+
+def test_items_without_an_id_and_repeated_items(spark):
+    words = " ".join(item(9, 20))
+    bench = spark.createDataFrame([(None, words), (3, words), (3, words)], "item_id long, text string")
+    df = docs(spark, ["so " + words, "so " + words, "other"])
+    assert sorted(((r.doc_id, r.item_id) for r in decontaminate.leaks(df, bench).collect()), key=str) == [(0, 3), (0, 3), (0, None), (1, 3), (1, 3), (1, None)]
+    assert [r.doc_id for r in decontaminate.drop_leaks(df, bench.where("item_id is null")).collect()] == [2]
 
 
 # --- URLs ---
@@ -257,9 +293,29 @@ def test_urls(spark):
     blocked = urlrules.judge(df, URL_RULES, block_chars=1)
     assert sorted(map(tuple, blocked.collect())) == want
     assert urlrules.judge(df.limit(0), URL_RULES).count() == 0
+    listed = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    assert sorted(map(tuple, urlrules.judge(df, listed).collect())) == want
     assert {r.verdict for r in urlrules.judge(df, [], default="block").collect()} == {"block"}
 
 
+def test_url_ties_do_not_depend_on_blocks(spark):
+    rng = random.Random(21)
+    hosts, paths = ["com", "a.com", "b.a.com", "net", "x.net"], ["", "/", "/en", "/en/", "/en/x", "/d"]
+    urls = [f"http://{rng.choice(['', 'q.'])}{rng.choice(hosts)}{rng.choice(paths)}{rng.choice(['', '/z', '/en/x'])}" for _ in range(150)]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    rules = [("com", "/en/x", "block"), ("a.com", "/en", "allow"), ("net", "/d", "allow"), ("net", "/d", "block")]
+    rules += [(rng.choice(hosts), rng.choice(paths), rng.choice(["allow", "block"])) for _ in range(25)]
+    want = []
+    for i, u in enumerate(urls):
+        host, path = hand_url(u)
+        fits = [(len(h + p), len(h), v, h + p) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        best = max(fits, default=(0, 0, "allow", None))
+        want.append((i, host, path, best[3], best[2]))
+    for chars in (1, 9, 40, 1 << 20):
+        rng.shuffle(rules)
+        assert sorted(map(tuple, urlrules.judge(df, rules, block_chars=chars).collect())) == want
+
+
 # --- resampling ---
 
 
