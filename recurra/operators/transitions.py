@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .windows import correlation
+
 EDGE = ["stream_id", "src", "dst"]
 
 
@@ -96,6 +98,6 @@ def correlations(series: DataFrame, above: float | None = None) -> DataFrame:
     """
     x = series.select("stream_id", "example", F.col("state").alias("a"), F.col("value").alias("va"))
     y = series.select("stream_id", "example", F.col("state").alias("b"), F.col("value").alias("vb"))
-    c = x.join(y, ["stream_id", "example"]).where("a < b").groupBy("stream_id", "a", "b").agg(F.count(F.lit(1)).alias("n"), F.corr("va", "vb").alias("correlation"))
+    c = x.join(y, ["stream_id", "example"]).where("a < b").groupBy("stream_id", "a", "b").agg(F.count(F.lit(1)).alias("n"), correlation("va", "vb").alias("correlation"))
     c = c.withColumn("correlation", F.coalesce(F.nanvl("correlation", F.lit(0.0)), F.lit(0.0)))
     return c if above is None else c.where(F.col("correlation") > above)

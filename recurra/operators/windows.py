@@ -129,16 +129,29 @@ def stable_mean(rows: DataFrame, x: str, w: int, buffer: int) -> DataFrame:
     return _kept(spread(rows, buffer + w), F.avg(x).over(old).alias("stable_mean"))
 
 
+def correlation(x: str, y: str, over: Window | None = None) -> Column:
+    """Pearson correlation of the rows with both values; null where one of them is constant, also in ANSI mode."""
+
+    def of(c: Column) -> Column:
+        return c if over is None else c.over(over)
+
+    a, b = F.when(F.col(y).isNotNull(), F.col(x)), F.when(F.col(x).isNotNull(), F.col(y))
+    width = of(F.stddev_pop(a)) * of(F.stddev_pop(b))
+    return of(F.covar_pop(x, y)) / F.nullif(width, F.lit(0.0))
+
+
 def lag_correlation(rows: DataFrame, x: str, lag: int, w: int) -> DataFrame:
     """Pearson correlation of a frame with itself `lag` rows before; null for constant frames."""
     r = spread(rows, w + lag).withColumn("before", F.lag(x, lag).over(order()))
-    return _kept(r, F.corr(x, "before").over(frame(w)).alias("lag_correlation"))
+    return _kept(r, correlation(x, "before", frame(w)).alias("lag_correlation"))
 
 
 def running_regression(rows: DataFrame, x: str, y: str, w: int) -> DataFrame:
-    """Slope, intercept and correlation of y on x over the frame; null for constant x."""
+    """Slope, intercept and correlation of y on x over the frame; null for constant x, the correlation for constant y too."""
     f = frame(w)
-    return _kept(spread(rows, w), F.regr_slope(y, x).over(f).alias("slope"), F.regr_intercept(y, x).over(f).alias("intercept"), F.corr(y, x).over(f).alias("correlation"))
+    a, b = F.when(F.col(y).isNotNull(), F.col(x)), F.when(F.col(x).isNotNull(), F.col(y))
+    slope = F.covar_pop(x, y).over(f) / F.nullif(F.var_pop(a).over(f), F.lit(0.0))
+    return _kept(spread(rows, w), slope.alias("slope"), (F.avg(b).over(f) - slope * F.avg(a).over(f)).alias("intercept"), correlation(y, x, f).alias("correlation"))
 
 
 def window_sources(rows: DataFrame, features: list[str]) -> DataFrame:

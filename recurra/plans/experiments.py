@@ -32,10 +32,19 @@ def runs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bounded(rows: DataFrame, lower: str, upper: str, names: list[str], keys: list[str]) -> DataFrame:
-    """Scores relative to a lower and an upper classifier of the same keys; 1 where that is not a number or infinite."""
+    """Scores relative to a lower and an upper classifier of the same keys.
+
+    1 where that is not a number or infinite: equal bounds, or a bound that did not run. Classifiers without a score for
+    the keys have no row.
+    """
     wide = rows.groupBy(*keys).pivot("classifier", names).agg(F.first("score"))
     lo, hi = F.col(f"`{lower}`"), F.col(f"`{upper}`")
-    out = wide.select(*keys, *[F.when(hi != lo, (F.col(f"`{n}`") - lo) / (hi - lo)).otherwise(1.0).alias(n) for n in names])
+
+    def relative(n: str):
+        own = F.col(f"`{n}`")
+        return F.when(own.isNotNull(), F.when(hi != lo, (own - lo) / (hi - lo)).otherwise(1.0)).alias(n)
+
+    out = wide.select(*keys, *[relative(n) for n in names])
     return out.unpivot(keys, [F.col(f"`{n}`") for n in names], "classifier", "bounded").where("bounded is not null")
 
 

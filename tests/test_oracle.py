@@ -27,7 +27,7 @@ def plain(df: pd.DataFrame) -> list[tuple]:
     def cell(v):
         if isinstance(v, bool) or isinstance(v, str):
             return str(v)
-        if v is None or v is pd.NaT or v != v:
+        if pd.isna(v):
             return "null"
         return f"{float(v):.6g}"
 
