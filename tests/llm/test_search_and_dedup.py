@@ -23,7 +23,7 @@ def brute_top(rows, queries, k):
     return sorted(out)
 
 
-@pytest.mark.parametrize("block", [16, 2048])
+@pytest.mark.parametrize("block", [5, 16, 2048])
 def test_top_k_equals_brute_force(spark, block):
     rng = np.random.default_rng(3)
     rows = [(i, [float(np.float32(x)) for x in rng.normal(0, 0.2, 8)]) for i in range(150)]
@@ -41,17 +41,62 @@ def test_top_k_empty_and_few(spark):
     assert [tuple(r) for r in topk.top_k(two, two.where("vec_id = 0"), 5).collect()] == [(0, 1, 1, 131072)]
 
 
-def test_cover_tree_covers():
-    x = np.random.default_rng(1).normal(size=(500, 6))
+def test_top_k_of_large_integers_is_exact(spark):
+    big = float(1 << 46)
+    rows = [(0, [big, 1.0]), (1, [big, 3.0]), (2, [big, 4.0]), (3, [big, 2.0]), (4, [-big, 9.0]), (5, [0.0, 0.0])]
+    rows += [(10 + i, [big, 3.0]) for i in range(4)]
+    huge = [(100, [1e30, 1.0]), (101, [1e30, 2.0]), (102, [1e30 * 1.5, -2.0]), (103, [-1e30, 0.0])]
+    for own, queries in ((rows, {0, 4, 5}), (rows + huge, {0, 4, 100, 103})):
+        df = spark.createDataFrame([(i, v, 0) for i, v in own], VEC.replace("float", "double"))
+        for block in (3, 2048):
+            got = topk.top_k(df, df.where(F.col("vec_id").isin(*queries)), 5, block=block, query_block=2).collect()
+            want = [(q, r, i, max(-(1 << 63), min((1 << 63) - 1, s))) for q, r, i, s in brute_top(own, queries, 5)]
+            assert sorted(map(tuple, got)) == want
+
+
+def test_order_of_scores_beyond_a_long():
+    xs = sorted([0, 5, -5, (1 << 63) - 1, 1 << 63, (1 << 63) + 1, 10**30, 10**30 + 1, -(1 << 63), -(1 << 63) - 1, -(10**25), -(10**25) - 1])
+    texts = [t for t in map(topk._order, xs) if t]
+    assert texts == sorted(texts) and len(set(texts)) == len(texts) == 9
+
+
+def test_top_k_over_many_cells_and_a_hot_vector(spark):
+    rng = np.random.default_rng(11)
+    middles = rng.normal(0, 3, (12, 8))
+    rows = [(i, [float(x) for x in middles[i % 12] + rng.normal(0, 0.05, 8)]) for i in range(600)]
+    rows += [(1000 + i, rows[3][1]) for i in range(300)]
+    df = spark.createDataFrame([(i, v, 0) for i, v in rows], VEC.replace("float", "double"))
+    got = topk.top_k(df, df.where("vec_id % 50 = 0"), 5, block=40, query_block=4)
+    assert sorted(map(tuple, got.collect())) == brute_top(rows, {i for i, _ in rows if i % 50 == 0}, 5)
+
+
+def test_dual_trees_leave_out_most_pairs_of_clustered_vectors():
+    rng = np.random.default_rng(2)
+    middles = rng.normal(0, 900, (30, 16))
+    c = np.floor(middles[rng.integers(0, 30, 6000)] + rng.normal(0, 20, (6000, 16)))
+    q = c[:500]
+    best, share = topk.search_block(q, np.arange(500), c, np.arange(6000), 5)
+    score = q @ c.T
+    score[np.arange(500), np.arange(500)] = -np.inf
+    assert (np.sort(score, axis=1)[:, -5:][:, ::-1] == best.score).all()
+    assert share < 0.35
+
+
+def test_cover_tree_covers_and_separates():
+    x = np.random.default_rng(1).normal(size=(900, 6))
 
     def walk(node):
-        assert np.sqrt(((x[node.points] - node.center) ** 2).sum(1)).max() <= node.radius + 1e-6
+        assert topk._distance(x[node.points], node.center).max() <= node.radius + 1e-6
         if node.children:
             assert sorted(np.concatenate([c.points for c in node.children])) == sorted(node.points)
+            assert (node.children[0].center == node.center).all()
+            scale = max(c.radius for c in node.children) / (1 + 1e-9)
+            for a, b in itertools.combinations(node.children, 2):
+                assert np.linalg.norm(a.center - b.center) >= scale - 1e-9
         for c in node.children:
             walk(c)
 
-    walk(topk.cover_tree(x))
+    walk(topk.cover_tree(x, leaf=8))
 
 
 def plain_simhash(text, k=3):
