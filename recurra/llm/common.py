@@ -20,36 +20,59 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (spark.checkpoint.dir); a local one only where none is set."""
+    """The folder that all executors share (spark.checkpoint.dir); one of this machine only where none is set and all
+    executors are threads of this process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def _path(spark: SparkSession, path: str):
+    """(file system, path) of Hadoop for a path of the shared folder."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
 def save(df: DataFrame, tag: str) -> DataFrame:
     """Write `df` to the shared folder and read it back: cuts lineage and survives lost executors.
 
-    The files go when the session's file system closes.
+    The files go with `release`, or when the session's file system closes.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/recurra-{uuid.uuid4().hex}-{tag}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    files, where = _path(spark, path)
+    files.deleteOnExit(where)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._recurra_path = path
+    return out
+
+
+def release(*saved: DataFrame) -> None:
+    """Delete the files of saved tables that nothing reads any more: all that came of them has been saved itself."""
+    for df in saved:
+        files, where = _path(df.sparkSession, df._recurra_path)
+        files.delete(where, True)
 
 
 #: Ids that may be broadcast at once; beyond, both sides are shuffled.
 BROADCAST_ROWS = 1_000_000
 
 
-def by_ids(rows: DataFrame, ids: DataFrame, how: str, on: str = "doc_id") -> DataFrame:
-    """left_semi or left_anti join of wide rows with an id table, broadcast only after counting it."""
-    small = ids.select(on).distinct()
-    return rows.join(F.broadcast(small) if ids.count() <= BROADCAST_ROWS else small, on, how).select(*rows.columns)
+def by_ids(rows: DataFrame, ids: DataFrame, how: str, on: str | list[str] = "doc_id") -> DataFrame:
+    """Join of wide rows with a narrow table of ids, broadcast only after counting it: left_semi, left_anti or inner.
+
+    The narrow table's further columns join the rows in an inner join; ids are made distinct for the other two.
+    """
+    keys = [on] if isinstance(on, str) else on
+    small = ids if how == "inner" else ids.select(*keys).distinct()
+    out = rows.join(F.broadcast(small) if ids.count() <= BROADCAST_ROWS else small, keys, how)
+    return out.select(*rows.columns, *[c for c in small.columns if how == "inner" and c not in keys])
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -59,16 +82,19 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     edge maps to an edge, so no link is lost. Node ids should be hash-like, then rounds are logarithmic.
     Neighbour minima are combined before the shuffle, so a hub is not gathered in one task.
     """
-    edges = save(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null"), "edges")
+    given = save(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null"), "edges")
+    edges = given
     mapping = save(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("root", F.col("node")), "nodes")
     edges = edges.where("a <> b")
     while not edges.isEmpty():
         both = edges.union(edges.select("b", "a"))
         least = save(both.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        old = mapping
         mapping = save(
             mapping.join(least, mapping.root == least.u, "left").select("node", F.coalesce("m", "root").alias("root")),
             "nodes",
         )
+        release(old)
         first = edges.join(least.select(F.col("u").alias("a"), F.col("m").alias("ma")), "a")
         edges = save(
             first.join(least.select(F.col("u").alias("b"), F.col("m").alias("mb")), "b")
@@ -77,4 +103,5 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             .distinct(),
             "edges",
         )
+        release(least)
     return mapping

@@ -9,17 +9,16 @@ through the bit-level midpoints of the Hamming ball, which is exact and linear.
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_ids, components, save
+from .common import components, save
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
@@ -155,158 +154,3 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 3, max_bits: int = 2,
     return fp.join(by_fp, "fp", "left").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
-
-
-# --- near copies of a given similarity: exact candidates by their rarest shingles, exact verification ---
-
-#: Counters of the shingle order; several shingles may share one, which only makes the order less sharp.
-_TALLIES, _SLOTS = 1 << 18, 64
-
-
-def _shingle_set(text: bytes | None, size: int) -> np.ndarray:
-    parts = list(shingle_hashes(text, size))
-    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
-
-
-def _tallies(docs: DataFrame, shingle: int) -> np.ndarray:
-    """How many texts hold the shingles of each counter, the low bits of the hash."""
-
-    def count(batches):
-        total = np.zeros(_TALLIES, np.int64)
-        held, n = [], 0
-        for b in batches:
-            for t in b.column(0).cast(pa.binary()).to_pylist():
-                held.append((_shingle_set(t, shingle) & np.uint64(_TALLIES - 1)).astype(np.int64))
-                n += len(held[-1])
-                if n > _PIECE:
-                    total += np.bincount(np.concatenate(held), minlength=_TALLIES)
-                    held, n = [], 0
-        if held:
-            total += np.bincount(np.concatenate(held), minlength=_TALLIES)
-        parts = [x.tobytes() for x in total.reshape(_SLOTS, -1)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(_SLOTS), pa.int32()), pa.array(parts, pa.binary())], names=["slot", "tally"])
-
-    def add(group: pa.Table) -> pa.Table:
-        total = np.zeros(_TALLIES // _SLOTS, np.int64)
-        for x in group.column("tally").to_pylist():
-            total += np.frombuffer(x, np.int64)
-        return pa.table({"slot": group.column("slot")[:1], "tally": pa.array([total.tobytes()], pa.binary())})
-
-    schema = "slot int, tally binary"
-    got = docs.select("text").mapInArrow(count, schema).groupBy("slot").applyInArrow(add, schema).collect()
-    parts = [np.frombuffer(bytes(r.tally), np.int64) for r in sorted(got, key=lambda r: r.slot)]
-    return np.concatenate(parts) if parts else np.zeros(_TALLIES, np.int64)
-
-
-def _prefixes(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(doc_id, copy, size, keys): the digest of a text, the size of its shingle set, and its rarest shingles by order.
-
-    Two sets of the similarity share one of their first size - ceil(similarity * size) + 1 shingles under any one order
-    of all shingles (prefix filter). Rare ones come first, so that a common passage gives few candidates.
-    """
-    tallies = docs.sparkSession.sparkContext.broadcast(_tallies(docs, shingle))
-
-    def run(batches):
-        for b in batches:
-            ids, copies, sizes, keys = b.column(0), [], [], []
-            for t in b.column(1).cast(pa.binary()).to_pylist():
-                h = _shingle_set(t, shingle)
-                order = np.argsort(tallies.value[(h & np.uint64(_TALLIES - 1)).astype(np.int64)], kind="stable")
-                first = len(h) - math.ceil(similarity * len(h) - 1e-6) + 1 if len(h) else 0
-                copies.append(xxhash.xxh3_128_hexdigest(t or b""))
-                sizes.append(len(h))
-                keys.append(h[order[:first]].view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(copies, pa.string()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-                names=["doc_id", "copy", "size", "keys"],
-            )
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id long, copy string, size long, keys array<long>")
-
-
-def _shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
-    def run(batches):
-        for b in batches:
-            sets = [_shingle_set(t, shingle).view(np.int64) for t in b.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, shingles array<long>")
-
-
-def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, leaders: int = 2) -> DataFrame:
-    """(doc_id, keeper): documents that repeat another one, with the smallest doc_id of their group.
-
-    Two bits of one fingerprint cannot tell a Jaccard similarity of 0.8, so candidates come from an exact prefix filter:
-    two texts meet in a group if they share one of their rarest shingles (`_prefixes`), unless its places leave too few
-    shingles after it to reach the similarity. No pair of the similarity is missed, whatever its length. Candidates are
-    verified by the exact Jaccard similarity of their shingle sets. In a group, members are compared with `leaders`
-    of them, those that meet most others, and again without those, with sixteen times as many leaders up to 512, until all
-    that are left are of one component: only pairs whose link is known from other pairs stay untested.
-    Equal texts are one; null and wordless texts are equal to each other only if byte-equal (null as empty).
-    Rows with a null doc_id are never listed.
-    """
-    seen = save(_prefixes(docs.where("doc_id is not null"), shingle, similarity), "prefixes")
-    exact = save(seen.groupBy("copy").agg(F.min("doc_id").alias("least")), "copies")
-    first = seen.join(exact, "copy").where("doc_id = least").dropDuplicates(["doc_id"])
-    keyed = first.select("doc_id", "size", F.posexplode("keys").alias("place", "key"))
-    crowd = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met_with = keyed.join(crowd, "key")
-    # A text that others were made from meets more of them than they meet each other; it should lead.
-    degree = met_with.groupBy("doc_id").agg(F.sum("n").alias("degree"))
-    left = save(met_with.drop("n").join(degree, "doc_id").withColumns({"root": F.col("doc_id"), "alike": F.lit(1).cast("long")}), "left")
-    spark = docs.sparkSession
-    tested = spark.createDataFrame([], "a long, b long, same boolean")
-    roots = spark.createDataFrame([], "least long, root long")
-    while not left.isEmpty():
-        # Members of the rarer components of a group lead first: with them gone, the group is one component.
-        order = Window.partitionBy("key").orderBy("alike", F.desc("degree"), "doc_id")
-        leads = left.withColumn("r", F.row_number().over(order)).where(F.col("r") <= leaders)
-        leads = save(leads.select("key", *(F.col(c).alias(f"lead_{c}") for c in ("doc_id", "root", "size", "place"))), "leads")
-        # At the first shingle that two similar texts share, none before it counts and enough must come after it.
-        after = F.least(F.col("size") - F.col("place"), F.col("lead_size") - F.col("lead_place"))
-        enough = after >= (F.col("size") + F.col("lead_size")) * (similarity / (1 + similarity)) - 1e-6
-        met = left.join(leads, "key").where((F.col("root") != F.col("lead_root")) & enough)
-        pairs = met.select(F.least("lead_doc_id", "doc_id").alias("a"), F.greatest("lead_doc_id", "doc_id").alias("b")).distinct()
-        pairs = save(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-        wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-        unique = by_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), save(wanted, "wanted"), "left_semi")
-        texts = save(_shingle_sets(unique.dropDuplicates(["doc_id"]), shingle), "sets")
-        common = F.size(F.array_intersect("sa", "sb"))
-        judged = (
-            pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
-            .join(texts.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
-            .select("a", "b", (common / (F.size("sa") + F.size("sb") - common) >= similarity).alias("same"))
-        )
-        judged = save(judged, "judged")
-        tested = tested.union(judged)
-        if not judged.where("same").isEmpty():
-            same = tested.where("same")
-            # Node ids by hash, so that contraction takes few rounds whatever the order of the ids.
-            hashed = same.select(*(F.struct(F.xxhash64(x).alias("h"), F.col(x).alias("id")).alias(x) for x in ("a", "b")))
-            roots = components(hashed).select(F.col("node.id").alias("least"), F.col("root.id").alias("root"))
-        # A leader has met all of its group. What is left can link only members of different components.
-        left = left.drop("root", "alike").join(leads.select("key", F.col("lead_doc_id").alias("doc_id")), ["key", "doc_id"], "left_anti")
-        left = left.join(roots.withColumnRenamed("least", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-        left = save(left, "rooted")
-        several = left.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-        alike = left.groupBy("key", "root").agg(F.count(F.lit(1)).alias("alike")).join(several, "key")
-        left = save(left.join(alike, ["key", "root"]), "left")
-        leaders = min(16 * leaders, max(leaders, 512))
-    named = roots.join(roots.groupBy("root").agg(F.min("least").alias("keeper")), "root").select("least", "keeper")
-    groups = exact.join(named, "least", "left").select("copy", F.coalesce("keeper", "least").alias("keeper"))
-    return seen.select("doc_id", "copy").join(groups, "copy").where("doc_id <> keeper").select("doc_id", "keeper").distinct()
-
-
-def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
-    """`docs` with one document of each group of near copies, the one with the smallest doc_id.
-
-    Columns are kept as they are. Of rows that repeat a doc_id one stays; rows with a null doc_id all stay.
-    """
-    repeats = save(near_copies(docs, **options), "repeats")
-    kept = by_ids(docs, repeats, "left_anti")
-    ids = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    if ids.isEmpty():
-        return kept
-    known = kept.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return known.unionByName(kept.where("doc_id is null"))

@@ -1,7 +1,7 @@
 """The corpus pipeline at small scale."""
 
 import corpus_pipeline
-from recurra.llm import decontaminate, simhash
+from recurra.llm import decontaminate, nearcopies
 
 
 def test_stages(spark, data):
@@ -15,7 +15,7 @@ def test_stages(spark, data):
         docs = spark.createDataFrame(kept.collect(), docs.schema)
     after = {r.doc_id: r for r in docs.collect()}
     assert 0 < len(after) < len(before) and set(after) <= set(before)
-    assert simhash.near_copies(docs).count() == 0
+    assert nearcopies.near_copies(docs).count() == 0
     assert decontaminate.leaks(docs, spark.read.parquet(f"{data}/benchmark.parquet")).count() == 0
     assert not any("@mail" in r.text for r in after.values())
     mixed = corpus_pipeline.run(spark, data)
