@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recurra.llm import decontaminate, langid, mixing, pii, simhash
+from recurra.llm import decontaminate, langid, mixing, nearcopies, pii
 from recurra.llm.common import save, table
 
 
@@ -19,7 +19,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of exact and near copies (five-word shingles, similarity 0.8 or more)."""
-    return simhash.drop_near_copies(docs, shingle=5, similarity=0.8)
+    return nearcopies.drop_near_copies(docs, shingle=5, similarity=0.8)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
