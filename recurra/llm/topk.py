@@ -1,6 +1,6 @@
 """Exact top-k inner-product search with dual cover trees.
 
-Queries and candidates share one index: the nodes of a cover tree over a bounded sample are the cells, and each vector
+Queries and candidates are both indexed: nodes of a cover tree over a bounded sample are the cells, and each vector
 belongs to the cell with the nearest centre, whose covering radius is the largest distance found. A query first searches
 the cell that promises most, which gives a lower bound of its k-th score; then it goes only to the cells whose centre
 and radius allow as much. What is left of a cell and a group of queries builds a cover tree of each and walks both
@@ -246,37 +246,45 @@ def top_k(
     if not size["n"] or not asked_size["n"]:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     width = max(size["w"], asked_size["w"], 1)
-    some = found.orderBy("h").limit(sample).select("v").collect()
-    centers = cell_centers(_matrix([r["v"] for r in some], width, scale), min(cells, -(-size["n"] // block)))
-    index = spark.sparkContext.broadcast(centers)
 
-    def place(batches):
-        c = index.value
-        with np.errstate(over="ignore", invalid="ignore"):
-            half = (c * c).sum(1) / 2
-            for b in batches:
-                x = _matrix(b.column(1).to_pylist(), width, scale)
-                near = np.nan_to_num(x @ c.T - half, nan=-np.inf).argmax(1) if len(x) else np.zeros(0, int)
-                dist = np.nan_to_num(np.sqrt(((x - c[near]) ** 2).sum(1)), nan=np.inf, posinf=np.inf)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(near.astype(np.int32)), pa.array(dist)], names=["id", "v", "h", "cell", "dist"])
-
-    def parts(counts: dict[int, int], rows: int, cell: str) -> Column:
-        """How many parts a cell has; one for cells that are not counted."""
-        many = {c: -(-n // rows) for c, n in counts.items() if n > rows}
+    def nodes(rows: DataFrame, n: int):
+        some = rows.orderBy("h").limit(sample).select("v").collect()
+        return spark.sparkContext.broadcast(cell_centers(_matrix([r["v"] for r in some], width, scale), min(cells, n)))
+
+    index = nodes(found, -(-size["n"] // block))
+    centers = index.value
+
+    def placing(shared):
+        def run(batches):
+            c = shared.value
+            with np.errstate(over="ignore", invalid="ignore"):
+                half = (c * c).sum(1) / 2
+                for b in batches:
+                    x = _matrix(b.column(1).to_pylist(), width, scale)
+                    near = np.nan_to_num(x @ c.T - half, nan=-np.inf).argmax(1) if len(x) else np.zeros(0, int)
+                    dist = np.nan_to_num(np.sqrt(((x - c[near]) ** 2).sum(1)), nan=np.inf, posinf=np.inf)
+                    yield pa.RecordBatch.from_arrays([*b.columns, pa.array(near.astype(np.int32)), pa.array(dist)], names=["id", "v", "h", "cell", "dist"])
+
+        return run
+
+    def parts(counts: dict[int, int], rows: int, n: int = len(centers)) -> Column:
+        """How many parts a cell of n has; one for cells that are not counted."""
+        many = {c: -(-k // rows) for c, k in counts.items() if k > rows}
         if not many:
             return F.lit(1)
-        return F.element_at(F.array(*[F.lit(many.get(i, 1)) for i in range(len(centers))]), F.col(cell) + 1)
+        return F.element_at(F.array(*[F.lit(many.get(i, 1)) for i in range(n)]), F.col("cell") + 1)
 
     schema = "id long, v array<double>, h long, cell int, dist double"
-    placed = save(found.mapInArrow(place, schema), "placed")
+    placed = save(found.mapInArrow(placing(index), schema), "placed")
     stats = {r["cell"]: (r["n"], r["r"]) for r in placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("dist").alias("r")).collect()}
     block_parts = {c: n for c, (n, _) in stats.items()}
-    placed = placed.select("id", "v", "cell", F.pmod("h", parts(block_parts, block, "cell")).cast("int").alias("part"))
+    placed = placed.select("id", "v", "cell", F.pmod("h", parts(block_parts, block)).cast("int").alias("part"))
 
-    # A query's group: its cell, cut by hash where it has many queries.
-    grouped = save(asked.mapInArrow(place, schema), "queries")
+    # Queries have nodes of their own, as few as `query_block` asks for, since a cell is sent to each group that wants it.
+    around = nodes(asked, -(-asked_size["n"] // query_block))
+    grouped = save(asked.mapInArrow(placing(around), schema), "queries")
     query_counts = {r["cell"]: r["count"] for r in grouped.groupBy("cell").count().collect()}
-    slot = F.pmod("h", parts(query_counts, query_block, "cell"))
+    slot = F.pmod("h", parts(query_counts, query_block, len(around.value)))
     grouped = grouped.select(F.col("h").alias("key"), "id", "v", F.concat_ws(":", "cell", slot).alias("group"))
 
     radius = np.full(len(centers), -1.0)
@@ -335,7 +343,7 @@ def top_k(
         least = kth.select("key", F.col("query_id").alias("id"), (F.col("score") - F.abs("score") * 1e-9 - 1).alias("floor"))
         start = grouped.join(save(least, "least"), ["key", "id"], "left").withColumn("least", F.coalesce("floor", F.lit(float("-inf"))))
     wide = reach(start).withColumn("cell", F.explode("cells"))
-    left = wide.withColumn("part", F.explode(F.sequence(F.lit(0), (parts(block_parts, block, "cell") - 1).cast("int")))).drop("cells", "home")
+    left = wide.withColumn("part", F.explode(F.sequence(F.lit(0), (parts(block_parts, block) - 1).cast("int")))).drop("cells", "home")
     near = met(left)
     ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "key").orderBy(*order))).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
