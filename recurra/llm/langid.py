@@ -2,12 +2,14 @@
 
 The kernel of two texts is the blended-spectrum presence kernel: the number of character n-grams (1 to `grams`)
 that both hold, over the root of the product of their own numbers. It is a cosine of presence vectors, so a batch
-of texts is scored by three matrix products: presence x landmarks, kernel x whitening, features x weights.
+of texts is scored by three matrix products: presence x landmarks, kernel x whitening, features x weights. Every n-gram
+has a number of its own, whatever its script; the model holds those of the landmarks, all others count as unshared.
 """
 
 from __future__ import annotations
 
 import sys
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _PIECE = 1 << 20
+_BITS = 21  # of a code point; three fit a long
+_NONE = (1 << _BITS) - 1  # no code point: fills the places of shorter n-grams
 _letters: np.ndarray | None = None
 
 
@@ -33,166 +37,190 @@ def _letter_table() -> np.ndarray:
     return _letters
 
 
-def _codes(text: str) -> np.ndarray:
-    """Lower-cased letters of a text, every run of other characters as one 0, framed by 0."""
-    raw = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    low = _letter_table()[raw]
-    keep = np.ones(len(low), bool)
-    keep[1:] = (low[1:] != 0) | (low[:-1] != 0)
-    low = low[keep]
-    return np.concatenate([[0], low, [0]]).astype(np.int32)
+def _codes(text: str) -> Iterator[np.ndarray]:
+    """Lower-cased letters of a text in pieces, every run of other characters as one 0, framed by 0."""
+    low, last = _letter_table(), -1
+    for at in range(0, max(len(text), 1), _PIECE):
+        raw = np.frombuffer(text[at : at + _PIECE].encode("utf-32-le", "surrogatepass"), np.uint32)
+        own = low[raw].astype(np.int64)
+        own = np.concatenate([np.zeros(int(last < 0), np.int64), own, np.zeros(int(at + _PIECE >= len(text)), np.int64)])
+        keep = (own != 0) | (np.concatenate([[last], own[:-1]]) != 0)
+        own = own[keep]
+        if len(own):
+            last = int(own[-1])
+            yield own
+
+
+def text_grams(text: str, grams: int = 3) -> np.ndarray:
+    """The distinct character n-grams, 1 to `grams`, of a whole text as sorted numbers, one for each n-gram."""
+    kept, parts = np.zeros(0, np.int64), []
+    for own in _codes(text):
+        c = np.concatenate([kept, own])
+        for n in range(1, grams + 1):
+            number = np.full(max(len(c) - n + 1, 0), (1 << _BITS * (3 - n)) - 1, np.int64)
+            for k in range(n):
+                number = (number << _BITS) | c[k : k + len(number)]
+            parts.append(np.unique(number))
+        kept = c[len(c) - grams + 1 :] if grams > 1 else c[:0]
+    return np.unique(np.concatenate(parts))
 
 
 @dataclass
 class LanguageModel:
     languages: list[str]
-    letters: np.ndarray  # per code point its small id, 0 for a separator, `size - 1` for an unknown letter
-    size: int
-    columns: list[np.ndarray]  # per n: gram number -> column or -1
-    width: int
-    landmarks: np.ndarray  # width x m
-    white: np.ndarray  # m x m
-    weights: np.ndarray  # (m + 1) x languages
-
-    def presence(self, texts: list[str]) -> np.ndarray:
-        """Which known n-grams each whole text holds; long texts in pieces that overlap by the gram length."""
-        out = np.zeros((len(texts), self.width), np.float32)
-        for row, text in enumerate(texts):
-            for at in range(0, max(len(text), 1), _PIECE):
-                ids = self.letters[_codes(text[at : at + _PIECE + len(self.columns)])].astype(np.int64)
-                number = ids
-                for n, column in enumerate(self.columns):
-                    if n:
-                        number = number[:-1] * self.size + ids[n:]
-                    found = column[number]
-                    out[row, found[found >= 0]] = 1.0
-        return out
-
-    def kernel(self, seen: np.ndarray) -> np.ndarray:
-        own = np.sqrt(np.maximum(seen.sum(1), 1.0))
-        theirs = np.sqrt(np.maximum(self.landmarks.sum(0), 1.0))
-        return (seen @ self.landmarks) / own[:, None] / theirs[None, :]
-
-    def features(self, seen: np.ndarray) -> np.ndarray:
-        x = self.kernel(seen) @ self.white
-        return np.hstack([x, np.ones((len(x), 1), x.dtype)])
-
-    def scores(self, texts: list[str], batch: int = 64) -> np.ndarray:
-        parts = [self.features(self.presence(texts[i : i + batch])) @ self.weights for i in range(0, len(texts), batch)]
-        return np.vstack(parts) if parts else np.zeros((0, len(self.languages)))
-
-
-def fit(texts: list[str], langs: list[str], landmarks: int = 160, grams: int = 3, ridge: float = 1.0, max_letters: int = 110, max_columns: int = 24_000) -> LanguageModel | None:
-    """Fit on labelled texts; None if there are none. Rows must come in a fixed order: landmarks are every k-th."""
+    grams: int
+    known: np.ndarray  # sorted numbers of all n-grams that a landmark holds
+    landmarks: np.ndarray  # known n-grams x landmarks, 1 where the landmark holds it
+    white: np.ndarray  # landmarks x features
+    weights: np.ndarray  # (features + 1) x languages
+    least_known: float = 0.0  # the share of known n-grams from which a language can be told
+
+    def seen(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Per text the number of its n-grams and how many are known; and the presence of the known ones, as rows."""
+        own, held = np.zeros(len(texts)), np.zeros(len(texts))
+        presence = np.zeros((len(texts), len(self.known)), np.float32)
+        for i, t in enumerate(texts):
+            g = text_grams(t, self.grams)
+            at = np.searchsorted(self.known, g)
+            at = at[np.append(self.known, -1)[at] == g]
+            presence[i, at] = 1.0
+            own[i], held[i] = len(g), len(at)
+        return own, held, presence
+
+    def kernel(self, own: np.ndarray, presence: np.ndarray) -> np.ndarray:
+        """Shared n-grams over the root of the product of the numbers of n-grams."""
+        theirs = np.sqrt(np.maximum(self.landmarks.sum(0, dtype=np.float32), 1.0))
+        some = np.flatnonzero(presence.any(0))
+        shared = presence[:, some] @ self.landmarks[some].astype(np.float32)
+        return shared / np.sqrt(np.maximum(own, 1.0))[:, None] / theirs[None, :]
+
+    def scored(self, texts: list[str], batch: int = 64) -> tuple[np.ndarray, np.ndarray]:
+        """(score per language, share of known n-grams) of each text."""
+        scores, shares = [np.zeros((0, len(self.languages)))], [np.zeros(0)]
+        for i in range(0, len(texts), batch):
+            own, held, presence = self.seen(texts[i : i + batch])
+            x = self.kernel(own, presence) @ self.white
+            scores.append(np.hstack([x, np.ones((len(x), 1))]) @ self.weights)
+            shares.append(held / np.maximum(own, 1))
+        return np.vstack(scores), np.concatenate(shares)
+
+
+def fit(texts: list[str], langs: list[str], landmarks: int = 160, grams: int = 3, ridge: float = 1.0, landmark_chars: int = 2_000) -> LanguageModel | None:
+    """Fit on labelled texts; None if there are none. Rows must come in a fixed order.
+
+    Each language has the same number of landmarks, `landmarks` in all but four each at least: its first texts in the
+    order given, of which `landmark_chars` characters from the middle count. All n-grams that they hold are columns. The
+    other texts, whole, give the ridge regression; those that are no landmark also the share of known n-grams under
+    which no language can be told, half of the smallest found.
+    """
+    if not 1 <= grams <= 3:
+        raise ValueError("grams must be 1, 2 or 3")
     languages = sorted(set(langs))
     if not languages:
         return None
-    codes = [_codes(t) for t in texts]
-    known, count = np.unique(np.concatenate([np.unique(c) for c in codes]), return_counts=True)
-    order = np.lexsort((known, -count))
-    chosen = [int(c) for c in known[order] if c][: max_letters - 2]
-    size = len(chosen) + 2
-    letters = np.full(sys.maxunicode + 1, size - 1, np.int16)
-    letters[0] = 0
-    letters[chosen] = np.arange(1, len(chosen) + 1)
-    tally = [np.zeros(size ** (n + 1), np.int32) for n in range(grams)]
-    for c in codes:
-        ids = letters[c].astype(np.int64)
-        number = ids
-        for n in range(grams):
-            if n:
-                number = number[:-1] * size + ids[n:]
-            tally[n][np.unique(number)] += 1
-    least = 2 if len(texts) > 20 else 1
-    everything = np.concatenate(tally)
-    if (everything >= least).sum() > max_columns:
-        least = int(np.sort(everything)[-max_columns])
-    columns, width = [], 0
-    for t in tally:
-        column = np.full(len(t), -1, np.int32)
-        held = np.flatnonzero(t >= least)
-        column[held] = np.arange(width, width + len(held))
-        width += len(held)
-        columns.append(column)
-    model = LanguageModel(languages, letters, size, columns, width, np.zeros((width, 0), np.float32), np.zeros((0, 0)), np.zeros((0, 0)))
-    seen = np.vstack([model.presence([t]) for t in texts])
-    pick = np.unique(np.linspace(0, len(texts) - 1, min(landmarks, len(texts))).astype(int))
-    model.landmarks = np.ascontiguousarray(seen[pick].T)
-    values, vectors = np.linalg.eigh(model.kernel(seen[pick]).astype(np.float64))
-    held = values > 1e-6 * max(values.max(), 1e-12)
-    model.white = (vectors[:, held] / np.sqrt(values[held])).astype(np.float32)
-    x = model.features(seen).astype(np.float64)
-    target = np.array([[1.0 if own == lang else 0.0 for lang in languages] for own in langs])
+    most = max(4, -(-landmarks // len(languages)))
+    pick, taken = [], dict.fromkeys(languages, 0)
+    for i, lang in enumerate(langs):
+        if taken[lang] < most:
+            taken[lang] += 1
+            pick.append(i)
+
+    def middle(t: str) -> str:
+        start = max(0, len(t) - landmark_chars) // 2
+        return t[start : start + landmark_chars]
+
+    parts = [text_grams(middle(texts[i]), grams) for i in pick]
+    known = np.unique(np.concatenate(parts))
+    held = np.zeros((len(known), len(pick)), np.uint8)
+    for k, g in enumerate(parts):
+        held[np.searchsorted(known, g), k] = 1
+    model = LanguageModel(languages, grams, known, held, np.zeros((len(pick), 0)), np.zeros((0, 0)))
+    values, vectors = np.linalg.eigh(model.kernel(held.sum(0), held.T.astype(np.float32)).astype(np.float64))
+    some = values > 1e-6 * max(values.max(), 1e-12)
+    model.white = vectors[:, some] / np.sqrt(values[some])
     # Every language weighs the same, however many texts it has.
-    balance = np.array([1.0 / langs.count(own) for own in langs]) * len(langs) / len(languages)
-    penalty = ridge * np.eye(x.shape[1])
-    penalty[-1, -1] = 1e-6
-    model.weights = np.linalg.solve((x * balance[:, None]).T @ x + penalty, (x * balance[:, None]).T @ target).astype(np.float32)
+    number = {lang: langs.count(lang) for lang in languages}
+    size = model.white.shape[1] + 1
+    left, right, shares = ridge * np.eye(size), np.zeros((size, len(languages))), []
+    left[-1, -1] = 1e-6
+    no_landmark = np.ones(len(texts), bool)
+    no_landmark[pick] = False
+    for i in range(0, len(texts), 64):
+        own, found, presence = model.seen(texts[i : i + 64])
+        x = np.hstack([model.kernel(own, presence) @ model.white, np.ones((len(own), 1))])
+        part = langs[i : i + 64]
+        weighed = x * np.array([len(langs) / len(languages) / number[lang] for lang in part])[:, None]
+        left += weighed.T @ x
+        right += weighed.T @ np.array([[float(lang == one) for one in languages] for lang in part])
+        shares += (found / np.maximum(own, 1))[no_landmark[i : i + 64]].tolist()
+    model.weights = np.linalg.solve(left, right)
+    model.least_known = 0.5 * min(shares, default=0.0)
     return model
 
 
-def training_sample(docs: DataFrame, per_language: int = 200, max_chars: int = 20_000) -> tuple[list[str], list[str]]:
-    """At most `per_language` whole texts of 1 to `max_chars` characters for each language, by hash of the doc_id.
+def training_sample(docs: DataFrame, per_language: int = 200, max_chars: int = 20_000, max_texts: int = 10_000) -> tuple[list[str], list[str]]:
+    """Labelled texts by hash of the doc_id: at most `per_language` for each language.
 
-    Only rows with a non-null lang and a doc_id with crc32(doc_id as text) mod 4 other than 2 are taken.
+    With more than max_texts / per_language languages each has its even share of `max_texts`, eight texts at least. Of a
+    text longer than `max_chars` that many characters count, from a place drawn by the hash. Only rows with a non-null
+    lang, a text that is not empty and a doc_id with crc32(doc_id as text) mod 4 other than 2 are taken.
     """
-    own = docs.select("doc_id", "lang", "text").where(
-        F.col("lang").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 4 != 2) & F.length("text").between(1, max_chars)
-    )
-    ranked = own.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
-    counts = ranked.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(200).collect()
-    texts: list[tuple] = []
-    keep = F.lit(False)
-    for r in counts:
-        # Half more than wanted in the mean, so that a full sample is near certain; the order is by hash.
-        share = min(1.0, (1.5 * per_language + 50) / r["count"])
-        keep = keep | ((F.col("lang") == r["lang"]) & (F.col("h") <= F.lit(int(-(1 << 63) + share * ((1 << 64) - 2048)))))
+    own = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 4 != 2) & (F.length("text") > 0))
+    own = own.withColumn("h", F.xxhash64("doc_id"))
+    counts = own.groupBy("lang").count().collect()
     if not counts:
         return [], []
-    rows = own.withColumn("h", F.xxhash64("doc_id")).where(keep).select("lang", "h", "doc_id", "text").collect()
-    rows.sort(key=lambda r: (r["h"], r["doc_id"], r["text"]))
+    most = min(per_language, max(8, max_texts // len(counts)))
+    # Half more than wanted in the mean, so that a full sample is near certain; the order is by hash.
+    shares = [(r["lang"], min(1.0, (1.5 * most + 50) / r["count"])) for r in counts]
+    share = docs.sparkSession.createDataFrame(shares, "lang string, share double")
+    place = F.shiftrightunsigned("h", 11) / float(1 << 53)
+    from_ = F.pmod("h", F.greatest(F.length("text") - max_chars + 1, F.lit(1))).cast("int") + 1
+    part = F.when(F.length("text") > max_chars, F.substring("text", from_, F.lit(max_chars))).otherwise(F.col("text"))
+    rows = own.join(F.broadcast(share), "lang").where(place <= F.col("share")).select("lang", place.alias("place"), "doc_id", part.alias("text")).collect()
+    rows.sort(key=lambda r: (r["place"], r["doc_id"], r["text"]))
     taken: dict[str, int] = {}
+    texts: list[tuple] = []
     for r in rows:
         taken[r["lang"]] = taken.get(r["lang"], 0) + 1
-        if taken[r["lang"]] <= per_language:
+        if taken[r["lang"]] <= most:
             texts.append((r["text"], r["lang"]))
     return [t for t, _ in texts], [lang for _, lang in texts]
 
 
 def predict(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
-    """All columns of `docs` plus lang_pred and lang_score, from the text alone.
+    """All columns of `docs` plus lang_pred, lang_score and lang_known, from the text alone.
 
-    Null text, text without a letter, and a model without languages give `und` with score 0. Whole texts are
-    scored; a column of the same name is replaced.
+    lang_known is the share of the text's n-grams that the landmarks hold. Null text, text without a letter, and a model
+    without languages give `und` with 0 for both. Whole texts are scored; of equal scores the first language in order of
+    code point wins; a column of the same name is replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rest = [c for c in docs.columns if c not in ("lang_pred", "lang_score")]
+    added = ("lang_pred", "lang_score", "lang_known")
+    rest = [c for c in docs.columns if c not in added]
 
     def run(batches):
         model = shared.value
         low = _letter_table()
         for b in batches:
             texts = b.column(b.schema.get_field_index("text")).cast(pa.string()).to_pylist()
-            pred, score = ["und"] * len(texts), [0.0] * len(texts)
-            some = [
-                i
-                for i, t in enumerate(texts)
-                if t and model and low[np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)].any()
-            ]
+            pred, score, known = ["und"] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
+            some = [i for i, t in enumerate(texts) if t and model and low[np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)].any()]
             for k in range(0, len(some), 64):
                 part = some[k : k + 64]
-                got = model.scores([texts[i] for i in part])
+                got, shares = model.scored([texts[i] for i in part])
                 best = got.argmax(1)
-                for i, j, row in zip(part, best, got, strict=True):
+                for i, j, row, share in zip(part, best, got, shares, strict=True):
                     pred[i] = model.languages[j]
                     score[i] = float(min(1.0, max(0.0, row[j])))
+                    known[i] = float(share)
             yield pa.RecordBatch.from_arrays(
-                [b.column(b.schema.get_field_index(c)) for c in rest] + [pa.array(pred, pa.string()), pa.array(score, pa.float64())],
-                names=[*rest, "lang_pred", "lang_score"],
+                [b.column(b.schema.get_field_index(c)) for c in rest] + [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(known, pa.float64())],
+                names=[*rest, *added],
             )
 
-    schema = docs.select(*rest).schema.add("lang_pred", "string").add("lang_score", "double")
-    return docs.select(*rest).mapInArrow(run, schema)
+    schema = docs.select(*(F.col(f"`{c}`") for c in rest)).schema.add("lang_pred", "string").add("lang_score", "double").add("lang_known", "double")
+    return docs.select(*(F.col(f"`{c}`") for c in rest)).mapInArrow(run, schema)
 
 
 def identify(docs: DataFrame, per_language: int = 200, **options) -> DataFrame:
@@ -200,9 +228,13 @@ def identify(docs: DataFrame, per_language: int = 200, **options) -> DataFrame:
     return predict(docs, fit(*training_sample(docs, per_language), **options))
 
 
-def keep_identified(docs: DataFrame, min_score: float = 0.15, **options) -> DataFrame:
-    """`docs` without the rows whose language cannot be told: `und`, or a best score under `min_score`."""
+def keep_identified(docs: DataFrame, per_language: int = 200, **options) -> DataFrame:
+    """`docs` without the rows whose language cannot be told: `und`, or too few n-grams that any language has.
+
+    The least share of known n-grams comes from the labelled texts (`fit`), which all have twice as many.
+    """
     if "lang" not in docs.columns:
         raise ValueError("the model learns from a lang column")
-    told = identify(docs, **options).where((F.col("lang_pred") != "und") & (F.col("lang_score") >= min_score))
-    return told.select(*docs.columns)
+    model = fit(*training_sample(docs, per_language), **options)
+    told = predict(docs, model).where((F.col("lang_pred") != "und") & (F.col("lang_known") >= (model.least_known if model else 0.0)))
+    return told.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -172,6 +172,80 @@ def test_language_edges(spark):
     assert langid.identify(docs(spark, [])).count() == 0
 
 
+def plain_grams(t, n=3):
+    t = "".join(c.lower() if len(c.lower()) == 1 else c for c in t)
+    t = " " + re.sub(r"[^a-z\u00df-\u00ff\u0400-\u04ff\u4e00-\u9fff]+", " ", t).strip(" ") + " "
+    return {t[i : i + k] for k in range(1, n + 1) for i in range(len(t) - k + 1)}
+
+
+def test_grams_and_kernel_equal_the_plain_form(monkeypatch):
+    rng = random.Random(6)
+    texts = ["a", "\u00c9t\u00e9 a-b", "xx  12 yy", "  lead", "trail!!", "\u4e2d\u6587 \u0416\u0436"]
+    texts += ["".join(rng.choice("abcDE \u00e9\u0416\u4e2d.,1") for _ in range(rng.randrange(3, 60))) + "z" for _ in range(60)]
+    for piece in (1, 2, 3, 7, 1 << 20):
+        monkeypatch.setattr(langid, "_PIECE", piece)
+        for n in (1, 2, 3):
+            for t in texts:
+                got = langid.text_grams(t, n)
+                assert len(got) == len(plain_grams(t, n)), (piece, n, t)
+    sets = [plain_grams(t) for t in texts]
+    model = langid.fit(texts, ["x"] * len(texts), landmarks=20)
+    own, held, presence = model.seen(texts)
+    k = model.kernel(own, presence)
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:20]):
+            assert abs(k[i, j] - len(a & b) / (len(a) * len(b)) ** 0.5) < 1e-5
+
+
+def test_ridge_on_landmarks_equals_kernel_ridge_regression():
+    rng = random.Random(12)
+    texts = ["".join(rng.choice(a) for _ in range(40)) for a in ("abcde ", "defgh ", "ghijk ") for _ in range(12)]
+    langs = [lang for lang in "xyz" for _ in range(12)]
+    model = langid.fit(texts, langs, landmarks=36, landmark_chars=1000)
+    sets = [plain_grams(t) for t in texts]
+    k = np.array([[len(a & b) / (len(a) * len(b)) ** 0.5 for b in sets] for a in sets])
+    y = np.array([[float(lang == one) for one in "xyz"] for lang in langs])
+    # Dual form with a constant feature of weight 1 / 1e-6: (K + 1e6) (K + 1e6 + I)^-1 y.
+    wide = k + 1e6
+    want = wide @ np.linalg.solve(wide + np.eye(36), y)
+    got, known = model.scored(texts)
+    assert np.abs(got - want).max() < 1e-3 and (known == 1).all()
+
+
+def test_languages_of_many_letters_and_many_languages(spark):
+    rng = random.Random(31)
+    rows = []
+    for lang in range(6):
+        letters = [chr(0x4E00 + 1500 * lang + i) for i in range(1500)]
+        words = ["".join(rng.choice(letters) for _ in range(2)) for _ in range(400)]
+        rows += [(len(rows) + i, " ".join(rng.choice(words) for _ in range(27)), f"l{lang}", "s", 1) for i in range(150)]
+    got = langid.identify(spark.createDataFrame(rows, DOC)).collect()
+    held = [r for r in got if zlib.crc32(str(r.doc_id).encode()) % 4 == 2]
+    assert np.mean([r.lang_pred == r.lang for r in held]) > 0.95
+    rows = [(i, f"wort{i % 300:03d}" .replace("0", "q").replace("1", "w").replace("2", "e") * 4 + chr(0x4E00 + i % 300) * 3, f"l{i % 300:03d}", "s", 1) for i in range(6000)]
+    got = langid.identify(spark.createDataFrame(rows, DOC).repartition(4)).collect()
+    assert len({r.lang_pred for r in got}) == 300 and np.mean([r.lang_pred == r.lang for r in got]) > 0.95
+
+
+def test_gibberish_is_not_identified(spark):
+    d = "/root/testdata/sf0.001"
+    df = spark.read.parquet(f"{d}/documents.parquet")
+    rng = random.Random(3)
+    letters = [chr(c) for c in range(0x0400, 0x0450)]
+    odd = [(10**9 + i, " ".join("".join(rng.choice(letters) for _ in range(rng.randrange(2, 9))) for _ in range(40)), None, "s", 1) for i in range(20)]
+    odd += [(10**9 + 20 + i, " ".join("".join(rng.choice("bcdfgjkqvwxz") for _ in range(7)) for _ in range(60)), None, "s", 1) for i in range(20)]
+    both = df.unionByName(spark.createDataFrame(odd, DOC))
+    kept = {r.doc_id for r in langid.keep_identified(both).collect()}
+    clean = {r.doc_id for r in df.where("lang is not null and length(text) > 100").collect()}
+    assert clean <= kept and not any(i >= 10**9 for i in kept)
+
+
+def test_repeated_rows_and_ties_of_languages(spark):
+    rows = [(i // 2, "same text here", ["b", "a"][i % 2], "s", 1) for i in range(40)]
+    got = langid.identify(spark.createDataFrame(rows, DOC)).collect()
+    assert len(got) == 40 and len({(r.lang_pred, r.lang_score) for r in got}) == 1
+
+
 # --- leaks ---
 
 
