@@ -2,10 +2,13 @@
 
 Offsets count code points from 0, ends are exclusive. Positions come from the gaps between the matches: `split` and
 `regexp_extract_all` walk the same matches, so a span starts where the lengths of the gaps and matches before it end.
+Sums over them run in chunks, and parts of a text are cut from its blocks of 4,096 characters, so that a text with very
+many spans costs about as much a span as one with few.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -78,33 +81,81 @@ def _valid(kind: str, found: Column) -> Column:
 
 
 _SPAN = "array<struct<start:int,kind:int,stop:int,score:double>>"
+_CHUNK, _BLOCK = 64, 4096
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def running(values: Column, op: Callable[[Column, Column], Column], deep: int = 2) -> Column:
+    """The array of `op` over each value and all before it; op is associative and 0 leaves a value as it is.
+
+    Chunk by chunk, since an array that grows by one element is copied each time.
+    """
+    zero = F.lit(0)
+
+    def plain(part: Column) -> Column:
+        start = F.struct(zero.alias("at"), F.array().cast("array<int>").alias("out"))
+
+        def step(acc, x):
+            return _let(op(acc["at"], x), lambda v: F.struct(v.alias("at"), F.concat(acc["out"], F.array(v)).alias("out")))
+
+        return F.aggregate(part, start, step, lambda acc: acc["out"])
+
+    if not deep:
+        return plain(values)
+
+    def chunked(v: Column) -> Column:
+        last = F.greatest(F.floor((F.size(v) - 1) / _CHUNK).cast("int"), zero)
+        return F.transform(F.sequence(zero, last), lambda i: plain(F.slice(v, i * _CHUNK + 1, F.lit(_CHUNK))))
+
+    def joined(parts: Column) -> Column:
+        tops = running(F.transform(parts, lambda p: F.try_element_at(p, F.lit(-1))), op, deep - 1)
+        before = _let(tops, lambda t: F.concat(F.array(zero), F.slice(t, F.lit(1), F.size(t) - 1)))
+        return F.flatten(F.zip_with(parts, before, lambda p, b: F.transform(p, lambda x: op(b, x))))
+
+    return _let(values, lambda v: _let(chunked(v), joined))
+
+
+def _blocks(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_BLOCK}}}"), 0)
+
+
+def _between(blocks: Column, start: Column, stop: Column) -> Column:
+    """Characters [start, stop) of the text of these blocks."""
+    first, last = F.floor(start / _BLOCK).cast("int"), F.floor((stop - 1) / _BLOCK).cast("int")
+
+    def part(b):
+        at = F.greatest(start - b * _BLOCK, F.lit(0))
+        return F.substring(F.get(blocks, b), at + 1, F.least(stop - b * _BLOCK, F.lit(_BLOCK)) - at)
+
+    return F.when(stop > start, F.array_join(F.transform(F.sequence(first, last), part), "")).otherwise("")
 
 
 def _spans(text: Column, number: int, kind: Kind) -> Column:
-    gaps = F.split(text, kind.pattern, -1)
+    gaps = F.transform(F.split(text, kind.pattern, -1), F.length)
     found = F.regexp_extract_all(text, F.lit(kind.pattern), 0)
-    # Java's split drops an empty first gap only for empty matches, and these patterns match no empty string.
-    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("m")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,m:string>>").alias("out"))
 
-    def step(acc, x):
-        begin = acc["at"] + x["gap"]
-        here = F.array(F.struct(begin.alias("start"), x["m"].alias("m")))
-        return F.struct((begin + F.length(x["m"])).alias("at"), F.concat(acc["out"], here).alias("out"))
+    def placed(m):
+        # Java's split drops an empty first gap only for empty matches, and these patterns match no empty string.
+        steps = F.zip_with(F.slice(gaps, F.lit(1), F.size(m)), m, lambda g, x: g + F.length(x))
+        return F.zip_with(running(steps, lambda x, y: x + y), m, lambda e, x: F.struct((e - F.length(x)).alias("start"), x.alias("m")))
 
-    placed = F.aggregate(pairs, start, step, lambda acc: acc["out"])
-    kept = F.filter(placed, lambda x: _valid(kind.name, x["m"]))
+    kept = F.filter(_let(found, placed), lambda x: _valid(kind.name, x["m"]))
 
-    def scored(x):
-        near = F.lower(F.substring(text, F.greatest(x["start"] - CONTEXT, F.lit(0)) + 1, F.least(x["start"], F.lit(CONTEXT))))
+    def scored(x, blocks):
+        near = F.lower(_between(blocks, F.greatest(x["start"] - CONTEXT, F.lit(0)), x["start"]))
         score = F.least(F.lit(1.0), F.lit(kind.score) + F.when(near.rlike(kind.context), 0.3).otherwise(0.0))
         return F.struct(x["start"].alias("start"), F.lit(number).alias("kind"), (x["start"] + F.length(x["m"])).alias("stop"), score.alias("score"))
 
-    out = F.transform(kept, scored)
+    none = F.array().cast(_SPAN)
+    all_scored = _let(kept, lambda k: F.when(F.size(k) > 0, _let(_blocks(text), lambda b: F.transform(k, lambda x: scored(x, b)))).otherwise(none))
     if kind.needs_context:
-        out = F.filter(out, lambda x: x["score"] > kind.score + 0.1)
+        all_scored = F.filter(all_scored, lambda x: x["score"] > kind.score + 0.1)
     guard = F.contains(text, F.lit("@")) if kind.guard == "@" else text.rlike(kind.guard)
-    return F.when(guard, out).otherwise(F.array().cast(_SPAN)).cast(_SPAN)
+    return F.when(guard, all_scored).otherwise(none).cast(_SPAN)
 
 
 def find(docs: DataFrame, keep: list[str], prefix: str = "__pii") -> DataFrame:
@@ -147,19 +198,17 @@ def redact(docs: DataFrame) -> DataFrame:
     found = find(docs, docs.columns)
     text = F.col("__pii_text")
     names = F.array(*[F.lit(f"<{k.name.upper()}>") for k in KINDS])
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc, x):
-        gap = F.substring(text, acc["at"] + 1, x["start"] - acc["at"])
-        return F.when(
-            x["start"] >= acc["at"],
-            F.struct(x["stop"].alias("at"), F.concat(acc["out"], F.array(gap, names[x["kind"]])).alias("out")),
-        ).otherwise(F.struct(F.greatest(acc["at"], x["stop"]).alias("at"), acc["out"].alias("out")))
-
-    done = F.aggregate(
-        F.col("__pii"), start, step,
-        lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))),
-    )
+    spans = F.col("__pii")
+    reached = running(F.transform(spans, lambda x: x["stop"]), F.greatest)
+
+    def replaced(reach, blocks):
+        before = F.concat(F.array(F.lit(0)), F.slice(reach, F.lit(1), F.size(reach) - 1))
+        heads = F.zip_with(spans, before, lambda x, b: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), b.alias("after")))
+        heads = F.filter(heads, lambda x: x["start"] >= x["after"])
+        pieces = F.transform(heads, lambda x: F.concat(_between(blocks, x["after"], x["start"]), names[x["kind"]]))
+        return F.concat(F.array_join(pieces, ""), _between(blocks, F.element_at(reach, -1), F.length(text)))
+
+    done = _let(reached, lambda reach: _let(_blocks(text), lambda blocks: replaced(reach, blocks)))
     some = F.size("__pii") > 0
     found = found.withColumn("__pii_new", F.when(some, done))
     out = []

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -143,6 +144,48 @@ def test_redaction_and_clashing_names(spark):
     assert [tuple(r) for r in out.orderBy("doc_id").collect()] == [(1, "mail <EMAIL>, <PHONE>!", "x", 22), (2, None, "y", 1), (3, "clean", None, 5)]
 
 
+def test_running_sums_and_maxima(spark):
+    rng = random.Random(5)
+    rows = [[], [3], list(range(64)), list(range(65))] + [[rng.randrange(100) for _ in range(n)] for n in (63, 130, 4096, 4097, 20_000)]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, v array<int>")
+    got = df.select("i", pii.running(F.col("v"), lambda x, y: x + y), pii.running(F.col("v"), F.greatest)).collect()
+    for i, sums, tops in got:
+        assert sums == np.cumsum(rows[i]).tolist() and tops == (np.maximum.accumulate(rows[i]).tolist() if rows[i] else [])
+
+
+def test_texts_with_very_many_spans_take_linear_time(spark):
+    def text(n):
+        return "".join(f"mail a{i}@b{i}.org \u00e9\U0001f600 " for i in range(n))
+
+    took = {}
+    for n in (2_000, 32_000):
+        df = docs(spark, [text(n)]).cache()
+        df.count()
+        t = time.time()
+        spans = pii.digest(df).first().spans.split(",")
+        new = pii.redact(df).first().text
+        took[n] = time.time() - t
+        assert new == "mail <EMAIL> \u00e9\U0001f600 " * n and len(spans) == n
+        at = [m.span() for m in re.finditer(r"a[0-9]+@b[0-9]+\.org", text(n))]
+        assert spans == [f"email:{a}:{b}" for a, b in at]
+    assert took[32_000] < 60 and took[32_000] < 40 * took[2_000]
+
+
+def test_redaction_equals_the_plain_form(spark):
+    rng = random.Random(14)
+    bits = ["a@b.co", "10.0.0.1", "+1 555 555 5555", "4111111111111111", "+4111111111111111", "x@4111111111111111.com", "DE89370400440532013000", " ", "\u00e9", "text ", "\U0001f600", "a@b.co@c.d", "y" * 4090, "ssn 123-45-6789 "]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(1, 40))) for _ in range(120)]
+    df = docs(spark, texts)
+    spans = {r.doc_id: r.spans for r in pii.digest(df).collect()}
+    for r in pii.redact(df).collect():
+        t, at, out = texts[r.doc_id], 0, ""
+        for kind, start, stop in ((k, int(a), int(b)) for k, a, b in (x.split(":") for x in spans[r.doc_id].split(",") if x)):
+            if start >= at:
+                out += t[at:start] + f"<{kind.upper()}>"
+            at = max(at, stop)
+        assert r.text == out + t[at:]
+
+
 # --- language ---
 
 
