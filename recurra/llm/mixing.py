@@ -54,7 +54,49 @@ def targets(sources: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float
     )
 
 
-def apportion(rows: DataFrame, seats: Column, value: Column, group: list[str], key: list[str]) -> DataFrame:
+def _null_safe(a: list[str], b: list[str]) -> Column:
+    on = F.lit(True)
+    for x, y in zip(a, b, strict=True):
+        on = on & F.col(x).eqNullSafe(F.col(y))
+    return on
+
+
+def _winners(ranked: DataFrame, group: list[str], key: list[str], most: int) -> DataFrame:
+    """The rows of each group with the `open` highest q, ties by key.
+
+    Groups of over `most` rows are not sorted as a whole: counts in 256 equal steps narrow the range of q that holds the
+    last winner, for all groups at once, until `most` rows or one value are left in each.
+    """
+    sizes = ranked.groupBy(*group).agg(F.max("open").alias("want"), F.min("q").alias("lo"), F.max("q").alias("hi"), F.count(F.lit(1)).alias("inside"))
+    names = [f"g_{c}" for c in group]
+    state = save(sizes.withColumnsRenamed(dict(zip(group, names, strict=True))).withColumn("above", F.lit(0).cast("long")), "state")
+
+    def wide(s: DataFrame) -> DataFrame:
+        return s.where((F.col("inside") > most) & (F.col("hi") > F.col("lo")))
+
+    while not wide(state).isEmpty():
+        own = ranked.join(wide(state), _null_safe(group, names)).where(F.col("q").between(F.col("lo"), F.col("hi")))
+        step = F.least(F.floor((F.col("q") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 256), F.lit(255))
+        bins = own.groupBy(*names, "want", "above", step.alias("bin")).agg(F.min("q").alias("lo"), F.max("q").alias("hi"), F.count(F.lit(1)).alias("inside"))
+        higher = Window.partitionBy(*names).orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1)
+        bins = bins.withColumn("above", F.col("above") + F.coalesce(F.sum("inside").over(higher), F.lit(0)))
+        here = bins.where((F.col("above") < F.col("want")) & (F.col("above") + F.col("inside") >= F.col("want")))
+        # Where fewer rows are left than wanted all of them win; the lowest bin stands for that.
+        lowest = F.row_number().over(Window.partitionBy(*names).orderBy("bin")) == 1
+        short = bins.withColumn("last", lowest).where(F.col("last") & (F.col("above") + F.col("inside") < F.col("want"))).drop("last")
+        narrow = here.unionByName(short).select(*state.columns)
+        state = save(state.where((F.col("inside") <= most) | (F.col("hi") <= F.col("lo"))).unionByName(narrow), "state")
+    placed = ranked.join(state, _null_safe(group, names)).where(F.col("q") >= F.col("lo"))
+    order = Window.partitionBy(*group).orderBy(F.desc("q"), *[F.col(k).asc_nulls_last() for k in key])
+    edge = placed.where(F.col("q") <= F.col("hi")).withColumn("r", F.row_number().over(order)).where(F.col("above") + F.col("r") <= F.col("want"))
+    return placed.where(F.col("q") > F.col("hi")).select(*key).unionByName(edge.select(*key))
+
+
+#: Ranked seats of a group that one task may sort.
+SORTED = 1 << 17
+
+
+def apportion(rows: DataFrame, seats: Column, value: Column, group: list[str], key: list[str], most: int = SORTED) -> DataFrame:
     """rows plus quota: `seats` of each group by Sainte-Lague on `value`, ties by key.
 
     A party's quota differs from its exact share x by at most x * parties / (2 * seats) + 1, so only the seats in that
@@ -73,14 +115,9 @@ def apportion(rows: DataFrame, seats: Column, value: Column, group: list[str], k
         *dict.fromkeys([*group, *key]), "open", "v", F.explode(F.sequence(F.col("sure"), F.col("could"))).alias("s")
     )
     ranked = ranked.where((F.col("v") > 0)).withColumn("q", F.col("v") / (F.col("s") * 2 + 1))
-    order = Window.partitionBy(*group).orderBy(F.desc("q"), *[F.col(k).asc_nulls_last() for k in key])
-    won = ranked.withColumn("r", F.row_number().over(order)).where("r <= open").groupBy(*key).agg(F.count(F.lit(1)).alias("won"))
+    won = _winners(save(ranked.where("open > 0"), "seats"), group, key, most).groupBy(*key).agg(F.count(F.lit(1)).alias("won"))
     won = won.select(*[F.col(k).alias(f"w_{k}") for k in key], "won")
-    on = None
-    for k in key:
-        part = F.col(k).eqNullSafe(F.col(f"w_{k}"))
-        on = part if on is None else on & part
-    out = rows.join(won, on, "left")
+    out = rows.join(won, _null_safe(key, [f"w_{k}" for k in key]), "left")
     return out.withColumn("quota", F.col("sure") + F.coalesce("won", F.lit(0))).drop(
         "v", "n", "vs", "parties", "x", "sure", "could", "won", *[f"w_{k}" for k in key]
     )

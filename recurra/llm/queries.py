@@ -29,7 +29,7 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = table(spark, sf_dir, "labels").where("quality = 1")
-    return resample.select(table(spark, sf_dir, "documents"), good, share=0.5)
+    return resample.resample(table(spark, sf_dir, "documents"), good, share=0.5)
 
 
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -68,11 +68,11 @@ def weigh(docs: DataFrame, target_ids: DataFrame, size: int = 10_000, seed: int
     """(doc_id, log_weight, gumbel_key) of every row.
 
     target_ids: doc_id of the target documents. Null or empty text has weight 0 in log. Repeated rows have equal keys; a
-    null doc_id takes the noise of an id of its own. No target documents: the target model is uniform.
+    row with a null doc_id takes the noise of its text. No target documents: the target model is uniform.
     """
-    ids = target_ids.where("doc_id is not null").select(F.col("doc_id").alias("t_id")).distinct()
-    keyed = docs.select("doc_id", "text")
-    # The texts stay where they are if the counted ids may be broadcast; beyond that they are shuffled once.
+    ids = target_ids.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("t_id")).distinct()
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # The texts stay where they are if the counted ids, a long each, may be broadcast; beyond that they are shuffled once.
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
     marked = keyed.join(ids, keyed.doc_id == ids.t_id, "left").select("text", F.col("t_id").isNotNull().alias("in_target"))
     shared = docs.sparkSession.sparkContext.broadcast(log_ratios(bucket_counts(marked, size), size))
@@ -82,19 +82,20 @@ def weigh(docs: DataFrame, target_ids: DataFrame, size: int = 10_000, seed: int
         ratio = shared.value
         for b in batches:
             w = [float(ratio[buckets(t, size, memo)].sum()) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(w, pa.float64())], names=["doc_id", "log_weight"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(w, pa.float64())], names=["doc_id", "draw", "log_weight"])
 
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, log_weight double")
-    draw = F.xxhash64(F.lit(seed), F.coalesce("doc_id", F.lit(-(1 << 63))))
-    u = (F.shiftrightunsigned(draw, 11).cast("double") + 0.5) / float(1 << 53)
-    return scored.withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(u)))
+    own = F.when(F.col("doc_id").isNull(), F.xxhash64(F.lit(seed), F.lit("text"), "text")).otherwise(F.xxhash64(F.lit(seed), "doc_id"))
+    scored = keyed.select("doc_id", "text", own.alias("draw")).mapInArrow(run, "doc_id long, draw long, log_weight double")
+    u = (F.shiftrightunsigned("draw", 11).cast("double") + 0.5) / float(1 << 53)
+    return scored.select("doc_id", "log_weight", (F.col("log_weight") - F.log(-F.log(u))).alias("gumbel_key"))
 
 
 def top_by_key(rows: DataFrame, key: str, k: int, ties: list[str], narrow: int = 4096) -> DataFrame:
     """rows plus selected: true for the k rows with the largest key (ties by `ties`, then any of equal rows).
 
     Exact without a global sort: counts in 256 equal steps narrow the range of the k-th key until it holds few rows or
-    one value; only those rows are ranked.
+    one value; only those rows are ranked. Where more rows than that share the value, those that are equal in `ties` too
+    are ranked by their place in the table, again by narrowing.
     """
     stats = rows.agg(F.min(key).alias("lo"), F.max(key).alias("hi"), F.count(F.lit(1)).alias("n")).first()
     lo, hi, above = stats["lo"], stats["hi"], 0
@@ -112,13 +113,21 @@ def top_by_key(rows: DataFrame, key: str, k: int, ties: list[str], narrow: int =
                 break
             above += per[i]["n"]
     edge = rows.where(F.col(key).between(lo, hi))
-    order = Window.orderBy(F.desc(key), *ties) if hi > lo or inside <= narrow else Window.orderBy(*ties)
-    ranked = edge.withColumn("r", F.row_number().over(order)).withColumn("selected", F.col("r") <= k - above).drop("r")
+    if inside <= narrow:
+        ranked = edge.withColumn("r", F.row_number().over(Window.orderBy(F.desc(key), *ties)))
+        ranked = ranked.withColumn("selected", F.col("r") <= k - above).drop("r")
+    elif ties:
+        # One value: the smaller in the first of `ties` come first, nulls before all.
+        first = F.coalesce(-F.col(ties[0]).cast("double"), F.lit(1e300))
+        ranked = top_by_key(save(edge.withColumn(f"{key}_t", first), "ties"), f"{key}_t", k - above, ties[1:], narrow).drop(f"{key}_t")
+    else:
+        place = -F.monotonically_increasing_id().cast("double")
+        ranked = top_by_key(save(edge.withColumn(f"{key}_p", place), "places"), f"{key}_p", k - above, [f"{key}_p"], narrow).drop(f"{key}_p")
     rest = rows.where((F.col(key) > hi) | (F.col(key) < lo)).withColumn("selected", F.col(key) > hi)
     return rest.unionByName(ranked)
 
 
-def select(docs: DataFrame, target_ids: DataFrame, share: float = 0.5, **options) -> DataFrame:
+def resample(docs: DataFrame, target_ids: DataFrame, share: float = 0.5, **options) -> DataFrame:
     """(doc_id, log_weight, gumbel_key, selected) of every row; `share` of the rows is selected, rounded down."""
     rows = save(weigh(docs, target_ids, **options), "weights")
     return top_by_key(rows, "gumbel_key", int(share * rows.count()), ["doc_id"])

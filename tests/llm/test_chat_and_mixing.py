@@ -95,3 +95,16 @@ def test_sainte_lague(spark):
             top = max((p for p in votes if votes[p]), key=lambda p: (votes[p] / (2 * want[p] + 1), [-ord(c) for c in p]))
             want[top] += 1
         assert got == want
+
+
+@pytest.mark.parametrize("most", [1, 4, 100])
+def test_sainte_lague_without_sorting_a_whole_group(spark, most):
+    rng = random.Random(most)
+    rows = [(g, i, rng.choice([0, 5, rng.randrange(1, 3000)])) for g in ("a", "b", None) for i in range(400)] + [("none", 1, 0), ("one", 1, 9)]
+    df = spark.createDataFrame(rows, "g string, party long, v0 long")
+    seats = F.when(F.col("g") == "a", 700).when(F.col("g") == "b", 90).otherwise(33)
+    whole = {(r.g, r.party): r.quota for r in mixing.apportion(df, seats, F.col("v0"), ["g"], ["g", "party"]).collect()}
+    cut = {(r.g, r.party): r.quota for r in mixing.apportion(df, seats, F.col("v0"), ["g"], ["g", "party"], most=most).collect()}
+    assert cut == whole and len(cut) == len(rows)
+    for g, n in (("a", 700), ("b", 90), (None, 33), ("none", 0), ("one", 33)):
+        assert sum(q for (own, _), q in cut.items() if own == g) == n

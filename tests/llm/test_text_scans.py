@@ -442,13 +442,62 @@ def test_importance_prefers_the_target(spark):
     bad = [" ".join(rng.choice(["spam", "buy", "now", "win"]) for _ in range(30)) for _ in range(40)]
     df = docs(spark, good + bad + [None, ""])
     target = spark.createDataFrame([(i,) for i in range(20)] + [(None,), (3,)], "doc_id long")
-    got = {r.doc_id: r for r in resample.select(df, target, share=0.4).collect()}
+    got = {r.doc_id: r for r in resample.resample(df, target, share=0.4).collect()}
     assert len(got) == 82 and sum(r.selected for r in got.values()) == 32
     assert sum(got[i].selected for i in range(40)) >= 30
     assert got[80].log_weight == got[81].log_weight == 0
-    again = {r.doc_id: r for r in resample.select(df, target, share=0.4).collect()}
+    again = {r.doc_id: r for r in resample.resample(df, target, share=0.4).collect()}
     assert got == again
-    assert resample.select(df.limit(0), target).count() == 0
+    assert resample.resample(df.limit(0), target).count() == 0
+
+
+def plain_weights(rows, target, size):
+    """Log importance weights by hand: add-one models of hashed words and word pairs."""
+
+    def grams(t):
+        w = [zlib.crc32(x.encode()) for x in (t or "").lower().split()]
+        return [h % size for h in w] + [(((a * 0x9E3779B1 + b * 0x85EBCA77) & 0x7FFFFFFFFFFFFFFF) >> 13) % size for a, b in zip(w, w[1:])]
+
+    raw, good = np.ones(size), np.ones(size)
+    for i, t in rows:
+        for g in grams(t):
+            raw[g] += 1
+            good[g] += i in target
+    ratio = np.log(good / good.sum()) - np.log(raw / raw.sum())
+    return [sum(ratio[g] for g in grams(t)) for _, t in rows]
+
+
+def test_importance_weights_equal_the_plain_form(spark):
+    rng = random.Random(77)
+    rows = [(i % 50 if i % 7 else None, " ".join(rng.choice("ab bb Cc dd ee ff gg".split()) for _ in range(rng.randrange(0, 30)))) for i in range(120)]
+    rows += [(500, None), (501, "zz " * 300_000), (500, None)]
+    target = {3, 7, 11, 500, 501}
+    df = spark.createDataFrame([(i, t, -1.0, 1) for i, t in rows], "doc_id long, text string, log_weight double, draw int")
+    ids = spark.createDataFrame([(i,) for i in target] + [(None,), (3,)], "doc_id long")
+    got = resample.resample(df, ids, share=0.4, size=64).collect()
+    want = sorted(zip([-1 if i is None else i for i, _ in rows], plain_weights(rows, target, 64)))
+    have = sorted((-1 if r.doc_id is None else r.doc_id, r.log_weight) for r in got)
+    assert len(got) == len(rows) and [a for a, _ in have] == [a for a, _ in want]
+    assert np.allclose([b for _, b in have], [b for _, b in want], atol=1e-6)
+    chosen = sorted((r.gumbel_key for r in got), reverse=True)[: int(0.4 * len(rows))]
+    assert sum(r.selected for r in got) == len(chosen) and all(r.gumbel_key >= chosen[-1] for r in got if r.selected)
+
+
+def test_gumbel_top_k_draws_in_proportion_to_the_weights(spark):
+    n = 4000
+    df = spark.createDataFrame([(i, "good thing" if i % 2 else "bad stuff") for i in range(n)], "doc_id long, text string")
+    ids = df.where("doc_id % 2 = 1 and doc_id < 1200").select("doc_id")
+    w = resample.weigh(df, ids, size=1000).toPandas()
+    noise = (w.gumbel_key - w.log_weight).to_numpy()
+    assert abs(noise.mean() - 0.5772) < 0.08 and abs(noise.var() - np.pi**2 / 6) < 0.15
+
+
+def test_top_by_key_with_many_equal_rows(spark):
+    df = spark.createDataFrame([(i % 3 if i % 3 else None, 1.0) for i in range(900)] + [(7, 2.0), (8, 0.5)], "doc_id long, key double").repartition(5)
+    for k, want in ((1, {7: 1}), (101, {7: 1, None: 100}), (401, {7: 1, None: 300, 1: 100}), (901, {7: 1, None: 300, 1: 300, 2: 300})):
+        got = resample.top_by_key(df, "key", k, ["doc_id"], narrow=16)
+        assert got.count() == 902
+        assert {r.doc_id: r["count"] for r in got.where("selected").groupBy("doc_id").count().collect()} == want
 
 
 def test_top_by_key_is_exact(spark):
