@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from .common import save
 
 _EXACT = float(1 << 53)
+#: Pairs of vectors that may be scored at once where their nodes' children leave nothing out.
+_SMALL = 1 << 16
 
 
 @dataclass
@@ -173,29 +175,36 @@ def search_block(q: np.ndarray, q_id: np.ndarray, c: np.ndarray, c_id: np.ndarra
     heap: list = []
     count = scored = 0
 
-    def push(a: Node, b: Node) -> None:
+    def push(a: Node, b: Node, top: float) -> None:
         nonlocal count
-        top = bound(a, b)
-        if top >= best.worst[a.points].min():
-            count += 1
-            heapq.heappush(heap, (-top, count, a, b))
-
-    push(cover_tree(q, leaf=32), cover_tree(c))
+        count += 1
+        heapq.heappush(heap, (-top, count, a, b))
+
+    def score(a: Node, b: Node) -> None:
+        nonlocal scored
+        s = qo[a.points] @ co[b.points].T
+        s[q_id[a.points][:, None] == c_id[b.points][None, :]] = -np.inf if exact else None
+        scored += s.size
+        best.add(a.points, s, c_id[b.points])
+
+    roots = cover_tree(q, leaf=32), cover_tree(c)
+    push(*roots, bound(*roots))
     while heap:
         top, _, a, b = heapq.heappop(heap)
         if -top < best.worst[a.points].min():
             continue
-        if not a.children and not b.children:
-            score = qo[a.points] @ co[b.points].T
-            score[q_id[a.points][:, None] == c_id[b.points][None, :]] = -np.inf if exact else None
-            scored += score.size
-            best.add(a.points, score, c_id[b.points])
-        elif a.children and (not b.children or a.radius > b.radius):
-            for x in a.children:
-                push(x, b)
+        if a.children and (not b.children or a.radius > b.radius):
+            pairs = [(x, b) for x in a.children]
+        else:
+            pairs = [(a, x) for x in b.children]
+        kept = [(x, y, t) for x, y in pairs if (t := bound(x, y)) >= best.worst[x.points].min()]
+        # Opening a small pair that leaves nothing out would only cut the matrix product.
+        sure = len(kept) == len(pairs) and best.worst[a.points].min() > -np.inf
+        if not pairs or sure and len(a.points) * len(b.points) <= _SMALL:
+            score(a, b)
         else:
-            for x in b.children:
-                push(a, x)
+            for x in kept:
+                push(*x)
     return best, scored / (len(q) * len(c))
 
 
