@@ -56,6 +56,35 @@ def average_ranks(rows: DataFrame, keys: list[str]) -> DataFrame:
     return r.groupBy("classifier").agg(F.avg("rank").alias("mean_rank"), F.count(F.lit(1)).alias("n"))
 
 
+def summary_table(rows: DataFrame, row: str, column: str, cell: str, columns: list[str]) -> DataFrame:
+    """One row per value of `row`, one column per value of `column`, in that order; cells are texts, empty where missing."""
+    wide = rows.groupBy(row).pivot(column, columns).agg(F.first(cell))
+    return wide.select(row, *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) for c in columns]).orderBy(row)
+
+
+def transposed(rows: DataFrame, row: str, columns: list[str], values: list) -> DataFrame:
+    """Rows become columns: (name, one column for each of `values` of `row`). Tables of results are small."""
+    long = rows.unpivot([row], [F.col(f"`{c}`") for c in columns], "name", "cell")
+    return long.groupBy("name").pivot(row, values).agg(F.first("cell"))
+
+
+def latex_table(table: DataFrame, caption: str, bold: list[str] | None = None) -> str:
+    """A results table as LaTeX: one line per row, `bold` columns set bold. It is as long as the table, which is small."""
+
+    def text(v) -> str:
+        out = "" if v is None else f"{v:.4g}" if isinstance(v, float) else str(v)
+        for c in "&%$#_{}":
+            out = out.replace(c, f"\\{c}")
+        return out
+
+    def line(cells: list[str]) -> str:
+        return " & ".join(f"\\textbf{{{x}}}" if c in (bold or []) else x for c, x in zip(table.columns, cells, strict=True)) + r" \\"
+
+    body = [line([text(v) for v in r]) for r in table.collect()]
+    head = [r"\begin{table}", rf"\caption{{{text(caption)}}}", rf"\begin{{tabular}}{{l{'r' * (len(table.columns) - 1)}}}", r"\toprule"]
+    return "\n".join([*head, " & ".join(map(text, table.columns)) + r" \\", r"\midrule", *body, r"\bottomrule", r"\end{tabular}", r"\end{table}", ""])
+
+
 def critical_difference(k: int, n: int) -> float:
     """Nemenyi's critical difference at 0.05 of mean ranks of k classifiers over n data sets."""
     # Studentised range over the root of two, for 2 to 10 classifiers.

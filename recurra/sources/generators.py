@@ -9,15 +9,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def uniform(seed: int, name: str, example: str = "example") -> Column:
+def uniform(seed: int, name: str, example: Column | str = "example") -> Column:
     """Uniform in [0, 1): 48 bits of an MD5, so other engines can repeat it."""
-    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:{name}:"), F.col(example).cast("string"))), 1, 12), 16, 10).cast("double") / float(1 << 48)
+    row = F.col(example) if isinstance(example, str) else example
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:{name}:"), row.cast("string"))), 1, 12), 16, 10).cast("double") / float(1 << 48)
 
 
-def normal(seed: int, name: str) -> Column:
+def normal(seed: int, name: str, example: Column | str = "example") -> Column:
     """Standard normal by Box and Muller."""
-    u = F.greatest(uniform(seed, name + "a"), F.lit(1e-12))
-    return F.sqrt(-2 * F.log(u)) * F.cos(2 * math.pi * uniform(seed, name + "b"))
+    u = F.greatest(uniform(seed, name + "a", example), F.lit(1e-12))
+    return F.sqrt(-2 * F.log(u)) * F.cos(2 * math.pi * uniform(seed, name + "b", example))
 
 
 def _rows(spark: SparkSession, n: int, partitions: int | None = None) -> DataFrame:
@@ -77,16 +78,54 @@ def agrawal(spark: SparkSession, n: int, function: int, seed: int) -> DataFrame:
     return rows.select("example", F.array(*names).alias("x"), y.alias("y"))
 
 
-def sampler(seed: int, name: str, mean: float = 0.0, stdev: float = 1.0, skew: float = 0.0, kurt: float = 1.0, strength: float = 1.0) -> Column:
-    """A squashed feature: sinh-arcsinh normal draws plus waves, blended with uniform noise by `strength`."""
+#: What may set a sampled feature apart from uniform noise.
+TRAITS = ("distribution", "autocorrelation", "frequency")
+
+
+def sinh_arcsinh_density(x: Column, skew: float, tail: float) -> Column:
+    """Density of the sinh-arcsinh normal distribution; the standard normal for skew 0 and tail 1."""
+    at = F.asinh(x) * tail - skew
+    bell = F.exp(-(F.sinh(at) ** 2) / 2) / math.sqrt(2 * math.pi)
+    return bell * tail * F.cosh(at) / F.sqrt(1 + x * x)
+
+
+def sampler_traits(seed: int, name: str) -> dict[str, float | list]:
+    """The parameters of a sampled feature, drawn from its seed and name; they can be written as JSON."""
     rng = random.Random(f"{seed}:{name}")
-    z = normal(seed, name)
-    base = ((mean / stdev) + F.sinh((F.asinh(z) + skew) / kurt)) * stdev
-    waves = sum((rng.uniform(0.1, 0.5) * F.sin(F.col("example") * (2 * math.pi / rng.uniform(20, 200)) + rng.uniform(0, 6.28)) for _ in range(3)), F.lit(0.0))
-    return 1 / (1 + F.exp(-(base + waves))) * strength + uniform(seed, name + "u") * (1 - strength)
+    return {
+        "mean": rng.random(), "stdev": max(rng.random(), 1e-3), "skew": rng.uniform(-1, 1), "tail": rng.uniform(0.75, 1.75),
+        "echo": [rng.uniform(0, 0.4) for _ in range(3)], "waves": [(rng.random(), rng.uniform(0, 2)) for _ in range(3)],
+    }
+
 
+def sampler(seed: int, name: str, strength: float = 1.0, traits: tuple[str, ...] = TRAITS) -> Column:
+    """A feature in (0, 1): the logistic of its traits' sum, blended with uniform noise by `strength`.
 
-def hyperplane(spark: SparkSession, n: int, seed: int, features: int = 8, strength: float = 0.0, noise: float = 0.05, drift: float = 0.0) -> DataFrame:
+    distribution: sinh-arcsinh normal draws, without it draws are uniform and count only through their echo;
+    autocorrelation: an echo of the three draws before; frequency: a tenth of three waves.
+    """
+    t = sampler_traits(seed, name)
+
+    def draw(back: int) -> Column:
+        row = F.col("example") - back
+        if "distribution" not in traits:
+            return uniform(seed, name + "d", row)
+        x = F.sinh((F.asinh(normal(seed, name, row)) + t["skew"]) / t["tail"])
+        return (t["mean"] / t["stdev"] + x) * t["stdev"]
+
+    total = F.lit(0.0)
+    if "distribution" in traits:
+        total = total + draw(0)
+    if "autocorrelation" in traits:
+        for back, share in enumerate(t["echo"], 1):
+            total = total + draw(back) * share
+    if "frequency" in traits:
+        for pace, height in t["waves"]:
+            total = total + 0.1 * height * F.sin((F.col("example") + 1) * (pace / (2 * math.pi)))
+    return strength / (1 + F.exp(-total)) + uniform(seed, name + "u") * (1 - strength)
+
+
+def hyperplane(spark: SparkSession, n: int, seed: int, features: int = 8, strength: float = 0.0, noise: float = 0.05, drift: float = 0.0, traits: tuple[str, ...] = TRAITS) -> DataFrame:
     """Label 1 where the weighted sum reaches half the weights; labels flip with chance `noise`.
 
     drift: how much each weight moves per row, in a fixed direction of its own.
@@ -94,7 +133,7 @@ def hyperplane(spark: SparkSession, n: int, seed: int, features: int = 8, streng
     rng = random.Random(seed)
     w = [rng.random() for _ in range(features)]
     way = [rng.choice((-1, 1)) for _ in range(features)]
-    cols = [sampler(seed, f"h{i}", strength=strength) if strength else uniform(seed, f"h{i}") for i in range(features)]
+    cols = [sampler(seed, f"h{i}", strength, traits) if strength else uniform(seed, f"h{i}") for i in range(features)]
     rows = _rows(spark, n).select("example", F.array(*cols).alias("x"))
     weights = F.array(*[F.lit(a) + F.col("example") * float(drift * d) for a, d in zip(w, way, strict=True)])
     dot = F.aggregate(F.zip_with("x", weights, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
@@ -103,11 +142,15 @@ def hyperplane(spark: SparkSession, n: int, seed: int, features: int = 8, streng
     return rows.select("example", "x", F.when(uniform(seed, "flip") < noise, 1 - y).otherwise(y).alias("y"))
 
 
-def random_rule(rng: random.Random, features: int, depth: int, classes: int) -> tuple:
-    """A random decision tree over [0, 1) features: ('leaf', class) or (feature, threshold, left, right)."""
+def random_rule(rng: random.Random, features: int, depth: int, classes: int, least: int | None = None) -> tuple:
+    """A random decision tree over [0, 1) features: ('leaf', class) or (feature, threshold, left, right).
+
+    From level `least` on (the depth by default) a node is a leaf by a chance of 0.15.
+    """
+    least = depth if least is None else least
 
     def grow(level: int, lo: list[float], hi: list[float]) -> tuple:
-        if level == depth:
+        if level == depth or level >= max(least, 1) and rng.random() < 0.15:
             return ("leaf", lo, hi)
         # The split keeps both sides between 40 and 60 percent of the box: at most 0.2 of its mass apart.
         j = rng.randrange(features)
@@ -147,10 +190,10 @@ def rule_column(tree: tuple, x: str = "x") -> Column:
     return F.when(F.col(x)[j] < t, rule_column(left, x)).otherwise(rule_column(right, x))
 
 
-def random_tree(spark: SparkSession, n: int, seed: int, features: int = 10, depth: int = 4, classes: int = 2, strength: float = 0.4, nominal: int = 0, values: int = 5) -> DataFrame:
+def random_tree(spark: SparkSession, n: int, seed: int, features: int = 10, depth: int = 4, classes: int = 2, strength: float = 0.4, nominal: int = 0, values: int = 5, least: int | None = None, traits: tuple[str, ...] = TRAITS) -> DataFrame:
     """Sampled features, and `nominal` one-hot categories, labelled by a random tree over the numeric ones."""
-    tree = random_rule(random.Random(seed), features, depth, classes)
-    cols = [sampler(seed, f"t{i}", strength=strength) for i in range(features)]
+    tree = random_rule(random.Random(seed), features, depth, classes, least)
+    cols = [sampler(seed, f"t{i}", strength, traits) if strength else uniform(seed, f"t{i}") for i in range(features)]
     for c in range(nominal):
         pick = F.floor(uniform(seed, f"c{c}") * values)
         cols += [(pick == v).cast("double") for v in range(values)]
@@ -215,23 +258,37 @@ def wind(spark: SparkSession, n: int, concept: int, seed: int, sensors: int = 16
     return rows.select("example", x.alias("x"), y.alias("y"))
 
 
-#: Named data sets: generator and number of concepts.
+def _tree(depth: int, least: int, strength: float = 0.0, traits: tuple[str, ...] = TRAITS):
+    return lambda s, n, c, seed, d: random_tree(s, n, seed, depth=depth, least=least, strength=strength, traits=traits)
+
+
+#: Named data sets: how to make a concept's rows (session, rows, concept, seed, difficulty), and the number of concepts.
 CATALOGUE = {
-    "STAGGER": (lambda s, n, c, seed, d: stagger(s, n, c, seed), 3),
+    "STAGGER": (lambda s, n, c, seed, d: stagger(s, n, seed, seed), 10),
     "STAGGERS": (lambda s, n, c, seed, d: stagger(s, n, c, seed), 3),
-    "SEA": (lambda s, n, c, seed, d: sea(s, n, c, seed), 4),
-    "ARGWAL": (lambda s, n, c, seed, d: agrawal(s, n, c, seed), 10),
-    "RTREE": (lambda s, n, c, seed, d: random_tree(s, n, seed + c, strength=0.0), 6),
-    "HPLANE": (lambda s, n, c, seed, d: hyperplane(s, n, seed + c), 6),
-    "RBF": (lambda s, n, c, seed, d: rbf(s, n, seed + c), 6),
-    "RTREESAMPLE": (lambda s, n, c, seed, d: random_tree(s, n, seed + c, strength=0.4, depth=4 + d), 6),
-    "HPLANESAMPLE": (lambda s, n, c, seed, d: hyperplane(s, n, seed + c, strength=0.4), 6),
-    "RTREESAMPLE_Diff": (lambda s, n, c, seed, d: random_tree(s, n, seed + c, depth=d + 2), 6),
+    "SEA": (lambda s, n, c, seed, d: sea(s, n, seed, seed), 10),
+    "ARGWAL": (lambda s, n, c, seed, d: agrawal(s, n, seed, seed), 10),
     "WINDSIM": (lambda s, n, c, seed, d: wind(s, n, c, seed), 4),
+    "HPLANE": (lambda s, n, c, seed, d: hyperplane(s, n, seed), 10),
+    "HPLANESAMPLE": (lambda s, n, c, seed, d: hyperplane(s, n, seed, strength=1.0), 10),
+    "RBF": (lambda s, n, c, seed, d: rbf(s, n, seed), 10),
+    "RBFEasy": (lambda s, n, c, seed, d: rbf(s, n, seed, centroids=15, classes=4), 10),
+    "RBFMed": (lambda s, n, c, seed, d: rbf(s, n, seed, centroids=25, classes=4), 10),
+    "RTREE": (_tree(5, 3), 10),
+    "RTREEEasy": (_tree(1, 0), 10),
+    "RTREEEasySAMPLE": (_tree(2, 0, 0.1), 10),
+    "RTREEMedSAMPLE": (_tree(2, 0, 0.2), 10),
+    "RTREESAMPLE_HARD": (_tree(5, 3, 0.4), 10),
+    "RTREESAMPLE_Diff": (lambda s, n, c, seed, d: random_tree(s, n, seed, depth=(d or 0) + 2, least=d or 0, strength=0.4), 10),
+    "RTREESAMPLE": (_tree(5, 3, 1.0), 10),
 }
-for _name, _strength in (("UU", 0.1), ("UN", 0.2), ("NN", 0.4), ("NNW", 1.0)):
-    CATALOGUE[f"RTREESAMPLE-{_name}"] = (lambda s, n, c, seed, d, k=_strength: random_tree(s, n, seed + c, strength=k), 6)
-    CATALOGUE[f"HPLANESAMPLE-{_name}"] = (lambda s, n, c, seed, d, k=_strength: hyperplane(s, n, seed + c, strength=k), 6)
+# Trees over features with some traits only: D for distribution, A for autocorrelation, F for frequency.
+for _letters in ("F", "A", "D", "AF", "DA", "DF", "DAF"):
+    CATALOGUE[f"SynEasy{_letters}"] = (_tree(2, 0, 1.0, tuple(t for t in TRAITS if t[0].upper() in _letters)), 10)
+# The pair names how draws differ inside and between concepts; both are recorded, and the draws are those of RTREESAMPLE.
+for _inside in "UND":
+    for _between in "UNDB":
+        CATALOGUE[f"RTREESAMPLE-{_inside}{_between}"] = (_tree(5, 3, 1.0), 10)
 
 
 def concepts(spark: SparkSession, name: str, seed: int, rows: int, difficulty: int = 0) -> DataFrame:

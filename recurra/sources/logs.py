@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: The columns of a per-observation log, in order.
+#: The columns of a per-observation log, in order.
 LOG_SCHEMA = T.StructType(
     [T.StructField(c, T.LongType()) for c in ("example",)]
     + [T.StructField(c, T.IntegerType()) for c in ("y", "p", "is_correct")]
@@ -34,11 +34,21 @@ def read_logs(spark: SparkSession, path: str) -> DataFrame:
 def read_results(spark: SparkSession, path: str, pattern: str = "results_run_*.txt") -> DataFrame:
     """Result files, one JSON object each, found in all subfolders; files that do not parse are left out."""
     raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).option("wholetext", True).text(path)
-    schema = spark.read.option("mode", "DROPMALFORMED").json(raw.select("value").rdd.map(lambda r: r[0])).schema
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).option("multiLine", True)
+    schema = files.option("mode", "DROPMALFORMED").json(path).schema
     parsed = raw.select(F.col("_metadata.file_name").alias("file"), F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("r"))
     return parsed.where("r is not null").select("file", "r.*")
 
 
+def same_options(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of a with the row of b that agrees on all keys, null with null: the golden run of a run. b's columns are b_*."""
+    other = b.select(*[F.col(f"`{c}`").alias(f"b_{c}") for c in b.columns])
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"b_{k}"))
+    return a.join(other, on)
+
+
 def read_options(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("multiLine", True).json(path)
 
@@ -60,15 +70,16 @@ def pending(requested: DataFrame, path: str, keys: list[str]) -> DataFrame:
 def write_arff(stream: DataFrame, name: str, path: str, features: int) -> None:
     """A stream as ARFF text: numeric attributes, then the sorted class domain; rows in order of example.
 
-    One file by nature of the format; the rows are range-sorted and written in order of their part files, with the header
-    as the part that sorts first.
+    One file by nature of the format, so one task writes it; the rows are sorted by all tasks before. The class domain is
+    a parameter of the format and as small as it.
     """
     spark = stream.sparkSession
     domain = ",".join(str(r["y"]) for r in stream.select("y").distinct().orderBy("y").collect())
     head = [f"@RELATION {name}", *[f"@ATTRIBUTE attrib{i} NUMERIC" for i in range(features)], f"@ATTRIBUTE class {{{domain}}}", "@DATA"]
-    lines = stream.orderBy("example").select(F.concat_ws(",", F.array_join(F.col("x").cast("array<string>"), ","), F.col("y").cast("string")).alias("value"))
-    spark.createDataFrame([("\n".join(head),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/0-header")
-    lines.write.mode("overwrite").text(f"{path}/1-data")
+    line = F.concat_ws(",", F.array_join(F.col("x").cast("array<string>"), ","), F.col("y").cast("string"))
+    lines = stream.select(F.col("example").cast("long").alias("at"), line.alias("value"))
+    top = spark.createDataFrame([(-len(head) + i, h) for i, h in enumerate(head)], "at long, value string")
+    top.unionByName(lines).orderBy("at").select("value").coalesce(1).write.mode("overwrite").text(path)
 
 
 def with_defaults(rows: DataFrame, defaults: dict) -> DataFrame:

@@ -115,6 +115,20 @@ def test_sketch_bound_and_merge():
     assert np.linalg.norm(m.T @ m - s.T @ s, 2) <= 2 * (m**2).sum() / 8
 
 
+def test_sketch_keeps_as_many_directions_as_asked():
+    rng = np.random.default_rng(8)
+    q, _ = np.linalg.qr(rng.normal(size=(12, 12)))
+    s = FrequentDirections(12, 4)
+    for i in range(400):
+        s.append(q[i % 4] * (4 - i % 4))
+    held = s.rows()
+    assert len(held) == 4 and np.allclose(held.T @ held, sum(100 * (4 - i) ** 2 * np.outer(q[i], q[i]) for i in range(4)))
+    assert np.allclose((s.observations() ** 2).sum() / 4, sum((4 - i) ** 2 for i in range(4)) / 4)
+    lo, hi = s.column_range(3)
+    assert lo <= hi and s.column_histogram(3, 5).sum() == 4
+    assert s.similarity(q[2] * 7, q[9]) < 1e-9 < 0.99 < s.similarity(q[10], q[9])
+
+
 def stagger(n, repeats=2, seed=1):
     rng = np.random.default_rng(seed)
     xs, ys, cs = [], [], []
