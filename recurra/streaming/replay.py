@@ -25,7 +25,11 @@ _NAMES = [part.split()[0] for part in LOG.split(", ")]
 
 
 def step(system, stream: int, rows: pd.DataFrame) -> list[tuple]:
-    """Predict, score, learn: the log of some rows in order. Null labels and rows without features are only predicted."""
+    """Predict, score, learn: the log of some rows in order.
+
+    Rows without features are left out. A null label is only predicted; with `impute_labels` the system learns its own
+    prediction in its place, and the row has no score either way.
+    """
     out = []
     known = rows["concept"].tolist() if "concept" in rows else [None] * len(rows)
     for example, x, y, concept in zip(rows["example"].tolist(), rows["x"].tolist(), rows["y"].tolist(), known, strict=True):
@@ -36,6 +40,8 @@ def step(system, stream: int, rows: pd.DataFrame) -> list[tuple]:
             system.at(concept)
         p = system.predict(v)
         if y is None or y != y:
+            if getattr(system.o, "impute_labels", False):
+                system.learn(v, p)
             out.append((stream, example, None, p, None, None, 0, 0, None, {}, {}, {}, None, None))
             continue
         y = int(y)

@@ -21,9 +21,14 @@ from .tree import HoeffdingTree
 PERFORMANCE = ("labels", "predictions", "errors", "error_distances")
 
 
+#: Weightings of signals; those with bins use normals spread over them.
+WEIGHTINGS = frozenset({"fisher_overall", "fisher", "original", "uniform", "None", "gaussian_approx", "CacheMIHy"})
+SIMILARITIES = frozenset({"metainfo", "accuracy", "euclid", "jaccard", "jmahal"})
+
+
 @dataclass
 class Options:
-    """Parameters and defaults of a run."""
+    """Parameters and defaults of a run; names that are not known are refused."""
 
     classes: int = 2
     window_size: int = 100
@@ -64,6 +69,13 @@ class Options:
     ignore_sources: tuple[str, ...] = ()
     forced_drifts: frozenset[int] = frozenset()
     learn: bool = True
+    adjust_similarity: bool = True
+    impute_labels: bool = False
+
+    def __post_init__(self) -> None:
+        for name, value, known in (("weighting", self.weighting, WEIGHTINGS), ("similarity", self.similarity, SIMILARITIES)):
+            if value not in known:
+                raise ValueError(f"unknown {name} {value!r}; one of {sorted(known)}")
 
 
 class Running:
@@ -131,6 +143,9 @@ class State:
     cached: deque = field(default_factory=deque)
     others: dict[int, Running] = field(default_factory=dict)
     record: deque = field(default_factory=deque)
+    samples: deque = field(default_factory=deque)
+    adjusted: tuple[int, float] = (-1, 1.0)
+    dirty: int = 0
     seen: int = 0
     since: int = 0
     since_print: int = 0
@@ -169,6 +184,9 @@ class AdaptiveSystem:
         self.example = 0
         self.detector = Adwin(self.o.sensitivity, clock=max(1, self.o.sim_gap - 1))
         self.bg_detector = Adwin(self.o.sensitivity, clock=max(1, self.o.sim_gap - 1))
+        self.warning = self._warning_detector()
+        self.last_warning = 0
+        self.version = 0
         self.active = self._new_state().id
         self.background = self._make(-1)
         self.previous = self.active
@@ -178,6 +196,17 @@ class AdaptiveSystem:
 
     # --- states ---
 
+    def _warning_detector(self) -> Adwin:
+        """Twice as sensitive as the drift detector; it starts anew whenever it fires."""
+        return Adwin(min(1.0, 2 * self.o.sensitivity), clock=max(1, self.o.sim_gap - 1))
+
+    def _watch(self, likelihood: float) -> bool:
+        """Feed the likelihood of the active state; whether it fell. A warning marks the row it came at."""
+        if self.warning.fell(likelihood):
+            self.last_warning = self.example
+            self.warning = self._warning_detector()
+        return self.detector.fell(likelihood)
+
     def _make(self, id_: int) -> State:
         o = self.o
         return State(id_, HoeffdingTree(o.classes, self.features), Window(self.features, o.recent_cap), Adwin(o.estimator_risk, clock=1), Adwin(o.estimator_risk, clock=1))
@@ -202,6 +231,12 @@ class AdaptiveSystem:
         s.seen += 1
         s.since += 1
         s.unfit = min(s.unfit + 1, len(s.window))
+        if s.dirty:
+            s.dirty -= 1
+            if not s.dirty and s.print is not None:
+                # All rows of a window are of the new model now: performance signals start over with clean ones.
+                self._cache_print(s)
+                s.since_reset = 0
         if not self.o.learn:
             return
         while s.unfit > self._buffer(s):
@@ -212,15 +247,22 @@ class AdaptiveSystem:
             self._evolved(s)
 
     def _evolved(self, s: State) -> None:
-        """The model has changed: label its history again; performance signals start over with the next description."""
+        """The model has changed: label its history again.
+
+        For a window's length descriptions are of a transition: performance signals start over with the next one, and again
+        with the first that holds only rows of the new model.
+        """
         s.evolution = s.tree.evolution
         rows = s.window.part(0, len(s.window))
         s.window.p[rows] = s.tree.predict(s.window.x[rows])
-        s.since_reset = 0
+        s.dirty, s.since_reset = self.o.window_size, 0
         if s.print is not None:
-            s.cached.append(s.print.copy())
-            while len(s.cached) > self.o.fingerprint_cache:
-                s.cached.popleft()
+            self._cache_print(s)
+
+    def _cache_print(self, s: State) -> None:
+        s.cached.append(s.print.copy())
+        while len(s.cached) > self.o.fingerprint_cache:
+            s.cached.popleft()
 
     # --- descriptions ---
 
@@ -280,6 +322,7 @@ class AdaptiveSystem:
         if not self.stale:
             return self.weights
         self.stale = False
+        self.version += 1
         prints = [s for s in self.states.values() if s.print is not None]
         if not prints or self.overall is None or self.o.weighting in ("uniform", "None"):
             self.weights = np.ones(self.size)
@@ -295,10 +338,11 @@ class AdaptiveSystem:
             w = scale
         elif self.o.weighting == "original":
             w = means.std(0) * scale
-        elif self.o.weighting in ("gaussian_approx", "CacheMIHy", "histogram", "Cachehistogram_MI"):
+        elif self.o.weighting in ("gaussian_approx", "CacheMIHy"):
             w = self._gaussian_mi(means, sds, seen) * scale
         else:
-            sd = self.overall.stdev / safe
+            within = self.o.weighting == "fisher"
+            sd = np.sqrt((seen * sds**2).sum(0) / seen.sum(0)) if within else self.overall.stdev / safe
             w = self._fisher(means, seen, sd)
             own = []
             for s in prints:
@@ -328,16 +372,16 @@ class AdaptiveSystem:
         given = (h(mass) * seen).sum(0) / np.maximum(total, 1e-12)
         return np.maximum(h(mass.sum(1)) - given, 0)
 
-    def _distance(self, s: State, v: np.ndarray) -> float | None:
-        """Least weighted distance of a description to the state's fingerprint and its cached ones."""
+    def _distance(self, s: State, v: np.ndarray, only: np.ndarray | None = None) -> float | None:
+        """Least weighted distance of a description to the state's fingerprint and its cached ones, or to `only`."""
         if s.print is None:
             return None
         w = self._weights()
         w = w / w.max() if w.max() > 0 else np.ones_like(w)
         a = self._scaled(v)
         best = None
-        for r in (s.print, *s.cached):
-            b = self._scaled(r.mean)
+        for r in (s.print, *s.cached) if only is None else (only,):
+            b = self._scaled(r.mean if only is None else r)
             if self.o.similarity == "accuracy":
                 d = float(np.abs(a - b)[self.bound].mean())
             elif self.o.similarity == "euclid":
@@ -357,9 +401,23 @@ class AdaptiveSystem:
     def _likelihood(self, s: State, d: float | None) -> float:
         if d is None or len(s.record) < 2:
             return 0.0
+        mean, sd = self._usual(s)
+        return normal_tail((d - mean) / sd)
+
+    def _usual(self, s: State) -> tuple[float, float]:
+        """Mean and clamped stdev of the state's recorded distances, as they would be measured now.
+
+        Weights and ranges change after a distance has been recorded; so every fifth is measured again, and the record
+        takes the mean ratio of new to old.
+        """
+        if self.o.adjust_similarity:
+            self._weights()
+            if s.adjusted[0] != self.version:
+                again = [(old, self._distance(s, v, only)) for old, v, only in list(s.samples)[::5] if old]
+                s.adjusted = (self.version, sum(new / old for old, new in again) / len(again) if again else 1.0)
         r = np.fromiter(s.record, float)
-        sd = min(max(float(r.std(ddof=1)), self.o.min_sim_stdev), self.o.max_sim_stdev)
-        return normal_tail((d - float(r.mean())) / sd)
+        ratio = s.adjusted[1]
+        return float(r.mean()) * ratio, min(max(float(r.std(ddof=1)) * ratio, self.o.min_sim_stdev), self.o.max_sim_stdev)
 
     def _take_print(self, s: State) -> None:
         """Record the similarity of the stable window, then take it into the fingerprint."""
@@ -373,14 +431,15 @@ class AdaptiveSystem:
         if s.print is None:
             s.print = Running(v)
         else:
-            d = self._distance(s, v)
+            d, nearest = min(((self._distance(s, v, r.mean), i) for i, r in enumerate((s.print, *s.cached))))
             s.record.append(d)
+            s.samples.append((d, v, (s.print, *s.cached)[nearest].mean.copy()))
             while len(s.record) > self.o.similarity_buffer:
                 s.record.popleft()
+                s.samples.popleft()
+            s.print.add(v)
             if s.since_reset == 0:
                 s.print.reset(self.bound, v)
-            else:
-                s.print.add(v)
         s.since_reset += 1
         self.stale = True
 
@@ -439,6 +498,7 @@ class AdaptiveSystem:
             old.window.keep(self.min_rows)
             old.unfit = 0
         self.detector.reset()
+        self.warning = self._warning_detector()
         self._reset_background()
         for s in self.states.values():
             s.likelihood.reset()
@@ -536,7 +596,7 @@ class AdaptiveSystem:
             similarity = self._distance(active, v)
             active.now = self._likelihood(active, similarity)
             if len(active.record) >= 2:
-                drift |= self.detector.fell(active.now)
+                drift |= self._watch(active.now)
             if len(self.background.window) >= self.min_rows:
                 bg = self.background
                 d = self._distance(bg, self._describe(bg, self._head(bg)))

@@ -197,3 +197,70 @@ def test_event_time_windows(spark, tmp_path):
     assert sum(r.rows for r in windowed_accuracy(df).collect()) == 12
     assert sessions(df, "15 minutes").count() == 1
     assert callable(once)
+
+
+def test_unknown_names_are_refused():
+    for bad in ({"weighting": "Cachehistogram_MI"}, {"similarity": "sketch"}):
+        with pytest.raises(ValueError):
+            Options(**bad)
+
+
+def fed(n=900, **options):
+    xs, ys, _ = stagger(n // 3, 1)
+    s = AdaptiveSystem(xs.shape[1], Options(**options))
+    for x, y in zip(xs, ys):
+        s.learn(x, int(y))
+    return s
+
+
+def test_recorded_distances_follow_the_weights_of_now():
+    s = fed()
+    own = next(st for st in s.states.values() if len(st.record) > 5)
+    mean, _ = s._usual(own)
+    again = [s._distance(own, v, only) / old for old, v, only in list(own.samples)[::5] if old]
+    assert len(own.samples) == len(own.record) and mean == pytest.approx(np.mean(own.record) * np.mean(again))
+    s.o.adjust_similarity = False
+    own.adjusted = (-1, 1.0)
+    assert s._usual(own)[0] == pytest.approx(np.mean(own.record))
+
+
+def test_a_warning_comes_with_less_evidence_than_a_drift():
+    rng = np.random.default_rng(4)
+    s = AdaptiveSystem(3, Options())
+    drift = None
+    for i in range(2000):
+        s.example = i
+        if s._watch(float(np.clip(rng.normal(0.8 if i < 1000 else 0.55, 0.2), 0, 1))) and i > 1000:
+            drift = i
+            break
+    assert drift and 1000 < s.last_warning <= drift
+
+
+def test_performance_signals_start_over_when_the_window_is_of_the_new_model():
+    s = fed()
+    own = s.states[s.active]
+    before = own.print.copy()
+    kept = len(own.cached)
+    s._evolved(own)
+    assert own.dirty == s.o.window_size and own.since_reset == 0 and len(own.cached) == min(kept + 1, s.o.fingerprint_cache)
+    s._take_print(own)
+    assert (own.print.seen[s.bound] == 1).all() and (own.print.seen[~s.bound] == before.seen[~s.bound] + 1).all() and own.since_reset == 1
+    own.dirty = 1
+    s._observe(own, own.window.x[own.window.end - 1], 0)
+    assert own.dirty in (0, s.o.window_size) and (own.dirty or own.since_reset == 0)
+
+
+def test_missing_labels_are_imputed_where_asked():
+    import pandas as pd
+
+    from recurra.streaming.replay import step
+
+    xs, ys, _ = stagger(60, 1)
+    rows = pd.DataFrame({"example": range(len(xs)), "x": list(xs), "y": [None if i % 4 == 3 else float(y) for i, y in enumerate(ys)]})
+    seen = {}
+    for impute in (False, True):
+        system = AdaptiveSystem(3, Options(impute_labels=impute))
+        log = step(system, 0, rows)
+        seen[impute] = system.example
+        assert [r[4] is None for r in log] == [i % 4 == 3 for i in range(len(xs))]
+    assert seen[True] == len(xs) and seen[False] == len(xs) * 3 // 4
