@@ -19,6 +19,58 @@ def _so_far() -> Window:
     return _order().rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
+#: Rows of a block of a stream.
+BLOCK = 1 << 18
+
+
+def running(log: DataFrame, by: list[str] = S, **kinds: tuple[str, Column]) -> DataFrame:
+    """log plus columns that depend on all rows of a stream so far, one for each name=(kind, value).
+
+    sum, max and last (not null) include the row; before is the value of the row before, next the first value that is not
+    null from the row on. They run inside blocks of rows and take what comes from other blocks out of one row per block, so
+    no task holds a whole stream.
+    """
+    mine = {n: f"__{n}" for n in kinds}
+    rows = log.withColumns({"__block": F.floor(F.col("example") / BLOCK), **{mine[n]: v for n, (_, v) in kinds.items()}})
+    here = Window.partitionBy(*by, "__block").orderBy("example")
+    so_far, ahead = here.rowsBetween(Window.unboundedPreceding, 0), here.rowsBetween(0, Window.unboundedFollowing)
+    blocks = Window.partitionBy(*by).orderBy("__block")
+    earlier, later = blocks.rowsBetween(Window.unboundedPreceding, -1), blocks.rowsBetween(1, Window.unboundedFollowing)
+    per, carried, out = [], {}, {}
+    for n, (kind, _) in kinds.items():
+        c, k = F.col(mine[n]), f"__from_{n}"
+        known = F.when(c.isNotNull(), F.col("example"))
+        if kind == "sum":
+            per.append(F.sum(c).alias(k))
+            carried[k] = F.sum(k).over(earlier)
+            out[n] = F.coalesce(F.col(k), F.lit(0)) + F.sum(c).over(so_far)
+        elif kind == "max":
+            per.append(F.max(c).alias(k))
+            carried[k] = F.max(k).over(earlier)
+            out[n] = F.greatest(F.col(k), F.max(c).over(so_far))
+        elif kind == "last":
+            per.append(F.max_by(c, known).alias(k))
+            carried[k] = F.last(k, ignorenulls=True).over(earlier)
+            out[n] = F.coalesce(F.last(c, ignorenulls=True).over(so_far), F.col(k))
+        elif kind == "next":
+            per.append(F.min_by(c, known).alias(k))
+            carried[k] = F.first(k, ignorenulls=True).over(later)
+            out[n] = F.coalesce(F.first(c, ignorenulls=True).over(ahead), F.col(k))
+        elif kind == "before":
+            per.append(F.max_by(F.struct(c.alias("v")), "example").alias(k))
+            carried[k] = F.lag(k).over(blocks)
+            out[n] = F.coalesce(F.lag(F.struct(c.alias("v"))).over(here), F.col(k))["v"]
+        else:
+            raise ValueError(f"unknown kind {kind!r}")
+    table = rows.groupBy(*by, "__block").agg(*per).withColumns(carried)
+    names = [f"__by_{c}" for c in [*by, "__block"]]
+    table = table.withColumnsRenamed(dict(zip([*by, "__block"], names, strict=True)))
+    on = F.lit(True)
+    for a, b in zip([*by, "__block"], names, strict=True):
+        on = on & F.col(a).eqNullSafe(F.col(b))
+    return rows.join(table, on).withColumns(out).drop(*mine.values(), *names, *carried, "__block")
+
+
 def running_accuracy(log: DataFrame, block: int = 1 << 18) -> DataFrame:
     """right_sum, wrong_sum and overall_accuracy of every row over its stream so far.
 
@@ -41,8 +93,8 @@ def kappas(log: DataFrame, by: list[str] = S, label_only: bool = False) -> DataF
     its label). The label before a stream's first is 0. label_only: the expected agreement of kappa uses the labels in
     place of the predictions, as some published tables do.
     """
-    before = F.lag("y", 1, 0).over(_order())
-    marked = log.withColumn("same", (before == F.col("y")).cast("int"))
+    marked = running(log, prev=("before", F.col("y")))
+    marked = marked.withColumn("same", (F.coalesce("prev", F.lit(0)) == F.col("y")).cast("int"))
     # One map-side combined count; all else works on a row per group, label and prediction.
     cells = marked.groupBy(*by, "y", "p").agg(F.count(F.lit(1)).alias("n"), F.sum("is_correct").alias("right"), F.sum("same").alias("same"))
     labels = cells.groupBy(*by, F.col("y").alias("c")).agg(F.sum("n").alias("gt"))
@@ -61,7 +113,7 @@ def kappas(log: DataFrame, by: list[str] = S, label_only: bool = False) -> DataF
 
 def fill_concept(log: DataFrame) -> DataFrame:
     """The log with a null concept replaced by the last one known."""
-    return log.withColumn("concept", F.last("concept", ignorenulls=True).over(_so_far()))
+    return running(log, concept=("last", F.col("concept")))
 
 
 def concept_pairs(log: DataFrame, model: str = "active_model") -> DataFrame:
@@ -114,15 +166,15 @@ def weighted_models(pairs: DataFrame) -> DataFrame:
 
 def after_drift(log: DataFrame, follow: int) -> DataFrame:
     """Rows in [d, d + follow] of any true drift d but the stream's first."""
-    number = F.sum("drift_occured").over(_so_far())
-    at = F.max(F.when((F.col("drift_occured") == 1) & (F.col("dn") > 1), F.col("example"))).over(_so_far())
-    return log.withColumn("dn", number).withColumn("since", F.col("example") - at).where(F.col("since") <= follow).drop("dn", "since")
+    numbered = running(log, dn=("sum", F.col("drift_occured")))
+    last = running(numbered, at=("max", F.when((F.col("drift_occured") == 1) & (F.col("dn") > 1), F.col("example"))))
+    return last.where(F.col("example") - F.col("at") <= follow).drop("dn", "at")
 
 
 def after_detection(log: DataFrame, follow: int, near: int = 1000) -> DataFrame:
     """Rows in [c, c + follow] of a detected change c that are also within `near` rows of a true drift."""
-    last = lambda flag: F.max(F.when(F.col(flag) == 1, F.col("example"))).over(_so_far())
-    rows = log.withColumns({"c": last("change_detected"), "d": last("drift_occured")})
+    at = {k: ("max", F.when(F.col(flag) == 1, F.col("example"))) for k, flag in (("c", "change_detected"), ("d", "drift_occured"))}
+    rows = running(log, **at)
     return rows.where((F.col("example") - F.col("c") <= follow) & (F.col("example") - F.col("d") <= near)).drop("c", "d")
 
 
@@ -132,8 +184,10 @@ def accuracy(log: DataFrame) -> DataFrame:
 
 def runs(log: DataFrame, column: str) -> DataFrame:
     """Gaps and islands: [first, last] of every run of one value; null values have no run."""
-    new = F.coalesce(F.col(column).eqNullSafe(F.lag(column).over(_order())), F.lit(False)).cast("int")
-    marked = log.withColumn("new", 1 - new).withColumn("run", F.sum("new").over(_so_far()))
+    # The row before as a struct: a stream's first row has none, which is not the same as one that holds null.
+    prev = running(log, prev=("before", F.struct(F.col(column).alias("v"))))
+    same = F.col("prev").isNotNull() & F.col(column).eqNullSafe(F.col("prev.v"))
+    marked = running(prev.withColumn("new", (~same).cast("int")), run=("sum", F.col("new")))
     return marked.where(F.col(column).isNotNull()).groupBy("stream_id", "run", F.col(column).alias("value")).agg(F.min("example").alias("first"), F.max("example").alias("last")).drop("run")
 
 
@@ -144,9 +198,8 @@ def repair_models(log: DataFrame, deleted: DataFrame, model: str = "active_model
     """
     gone = deleted.select("stream_id", F.col("model").alias(model), F.lit(True).alias("gone")).distinct()
     kept = F.when(F.col("gone").isNull(), F.col(model))
-    ahead = _order().rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    rows = log.join(gone, ["stream_id", model], "left").withColumn("kept", kept)
-    return rows.withColumn("repair_model", F.first("kept", ignorenulls=True).over(ahead)).drop("gone", "kept")
+    rows = log.join(gone, ["stream_id", model], "left")
+    return running(rows, repair_model=("next", kept)).drop("gone")
 
 
 def resolve_merges(merges: DataFrame, rounds: int = 64) -> DataFrame:
@@ -198,9 +251,9 @@ def discrimination(log: DataFrame, similarity: DataFrame, model: str = "active_m
 
 def online_confusion(log: DataFrame, model: str = "active_model") -> DataFrame:
     """Running counts of the row's pair of concept and model, and running recall, precision and F1 of that pair."""
-    rows = fill_concept(log)
-    upto = lambda *k: F.count(F.lit(1)).over(Window.partitionBy("stream_id", *k).orderBy("example").rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.select("stream_id", "example", "concept", F.col(model).alias("model"), upto("concept", model).alias("n"), upto("concept").alias("gt_n"), upto(model).alias("model_n"))
+    rows = fill_concept(log).select("stream_id", "example", "concept", F.col(model).alias("model"))
+    for name, keys in (("n", ["concept", "model"]), ("gt_n", ["concept"]), ("model_n", ["model"])):
+        rows = running(rows, ["stream_id", *keys], **{name: ("sum", F.lit(1))})
     return rows.select("*", (F.col("n") / F.col("gt_n")).alias("recall"), (F.col("n") / F.col("model_n")).alias("precision"), (2.0 * F.col("n") / (F.col("gt_n") + F.col("model_n"))).alias("f1"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .evaluation import running
 from .windows import correlation
 
 EDGE = ["stream_id", "src", "dst"]
@@ -12,8 +13,8 @@ EDGE = ["stream_id", "src", "dst"]
 
 def counts(log: DataFrame, model: str = "active_model", changes_only: bool = False) -> DataFrame:
     """(stream_id, src, dst, n): how often one row's model follows another's; only unlike ones for the change matrix."""
-    o = Window.partitionBy("stream_id").orderBy("example")
-    steps = log.select("stream_id", F.lag(model).over(o).alias("src"), F.col(model).alias("dst")).where("src is not null")
+    rows = log.select("stream_id", "example", F.col(model).alias("dst"))
+    steps = running(rows, src=("before", F.col("dst"))).where("src is not null")
     if changes_only:
         steps = steps.where("src <> dst")
     return steps.groupBy(*EDGE).agg(F.count(F.lit(1)).cast("double").alias("n"))
