@@ -199,16 +199,16 @@ class _Judge:
 
 
 def _close_pairs(nodes: DataFrame, max_bits: int) -> DataFrame:
-    """Pairs (a, b) of nodes whose fingerprints are equal or, by the grid range join, at `max_bits` or fewer bits.
+    """Pairs (a, b) of nodes with equal fingerprints or linked ones: each with the first of its SimHash component only.
 
-    Each node is paired with the first of its fingerprint only, and of unlike fingerprints the first ones are.
+    Components come from the grid range join of all fingerprints at `max_bits` or fewer bits.
     """
     leads = save(nodes.groupBy("fp").agg(F.min("node").alias("lead")), "leads")
-    same = nodes.join(leads, "fp").select(F.col("lead").alias("a"), F.col("node").alias("b"))
-    far = links(leads.select("fp"), max_bits).withColumnsRenamed({"a": "x", "b": "y"})
-    far = far.join(leads.select(F.col("fp").alias("x"), F.col("lead").alias("a")), "x").join(leads.select(F.col("fp").alias("y"), F.col("lead").alias("b")), "y")
-    both = same.union(far.select("a", "b")).where("a <> b")
-    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    roots = components(links(leads.select("fp"), max_bits)).withColumnsRenamed({"node": "fp", "root": "root_fp"})
+    roots = leads.join(roots, "fp", "left").withColumn("root_fp", F.coalesce("root_fp", "fp"))
+    first = roots.join(leads.select(F.col("fp").alias("root_fp"), F.col("lead").alias("a")), "root_fp").select("fp", "a")
+    both = nodes.select("node", "fp").join(first, "fp").where("a <> node")
+    return both.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
 
 
 def _open_groups(left: DataFrame, judge: _Judge) -> DataFrame:
