@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -60,6 +61,13 @@ def release(*saved: DataFrame) -> None:
         files.delete(where, True)
 
 
+def collect_garbage(spark: SparkSession) -> None:
+    """Spark deletes the shuffle files of a finished query when the driver's JVM collects what refers to them; long loops
+    ask for that after each round, so that their disk does not add up."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 #: Ids that may be broadcast at once; beyond, both sides are shuffled.
 BROADCAST_ROWS = 1_000_000
 

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_ids, components, release, save
+from .common import BROADCAST_ROWS, by_ids, collect_garbage, components, release, save
 from .simhash import _bit_counts, _majority, _pieces, links
 
 #: Counters of the shingle order; several shingles may share one, which only makes the order less sharp.
@@ -115,33 +115,41 @@ def _lists(parts: list[np.ndarray], kind) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
 
 
+#: A shingle whose counter is higher may be in so many prefixes that its group is dealt to `_SALTS` tasks.
+_HOT, _SALTS = 1 << 20, 64
+
+
 def _described(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """Per row its place (rid), the size of its shingle set, its fingerprint, segment popcounts, and rarest shingles.
 
     Two sets of the similarity share one of their first size - ceil(similarity * size) + 1 shingles under any one order
-    of all shingles (prefix filter). Rare ones come first, so that a common passage gives few candidates.
+    of all shingles (prefix filter). Rare ones come first, so that a common passage gives few candidates. Those from place
+    `cold` on have hot counters.
     """
+    hot = _HOT
     shared = texts.sparkSession.sparkContext.broadcast(_tallies(texts, shingle))
 
     def run(batches):
         tallies, words = shared.value, _WordHashes()
         rid = TaskContext.get().partitionId() << 40
         for b in batches:
-            fp, sizes, counts, keys = [], [], [], []
+            fp, sizes, counts, cold, keys = [], [], [], [], []
             for t in b.column(3).cast(pa.binary()).to_pylist():
                 h = shingle_set(t, shingle, words)
-                order = np.argsort(tallies[(h & np.uint64(_TALLIES - 1)).astype(np.int64)], kind="stable")
+                often = tallies[(h & np.uint64(_TALLIES - 1)).astype(np.int64)]
+                order = np.argsort(often, kind="stable")
                 first = len(h) - math.ceil(similarity * len(h) - 1e-6) + 1 if len(h) else 0
                 sizes.append(len(h))
                 fp.append(_majority(_bit_counts(h), len(h)) if len(h) else 0)
                 counts.append(np.bincount((h >> np.uint64(58)).astype(np.int64), minlength=_SEGMENTS))
+                cold.append(int((often <= hot).sum()))
                 keys.append(h[order[:first]].view(np.int64))
             rids = np.arange(rid, rid + len(sizes))
             rid += len(sizes)
-            columns = [*b.columns[:3], pa.array(rids), pa.array(sizes, pa.int64()), pa.array(fp, pa.int64()), _lists(counts, pa.int32()), _lists(keys, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*_TEXT, "rid", "size", "fp", "counts", "keys"])
+            columns = [*b.columns[:3], pa.array(rids), pa.array(sizes, pa.int64()), pa.array(fp, pa.int64()), _lists(counts, pa.int32()), pa.array(cold, pa.int32()), _lists(keys, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*_TEXT, "rid", "size", "fp", "counts", "cold", "keys"])
 
-    return texts.mapInArrow(run, "doc_id long, h1 long, h2 long, rid long, size long, fp long, counts array<int>, keys array<long>")
+    return texts.mapInArrow(run, "doc_id long, h1 long, h2 long, rid long, size long, fp long, counts array<int>, cold int, keys array<long>")
 
 
 def _sets(rows: DataFrame, shingle: int) -> DataFrame:
@@ -196,6 +204,7 @@ class _Judge:
         self.judged = new if self.judged is None else self.judged.unionByName(new)
         if self.roots is None or not new.where("same").isEmpty():
             self.roots = components(self.judged.where("same"))
+        collect_garbage(self.texts.sparkSession)
 
 
 def _close_pairs(nodes: DataFrame, max_bits: int) -> DataFrame:
@@ -220,7 +229,8 @@ def _open_groups(left: DataFrame, judge: _Judge) -> DataFrame:
 
 
 def by_roots(left: DataFrame, roots: DataFrame) -> DataFrame:
-    return left.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    small = F.broadcast(roots) if roots.count() <= BROADCAST_ROWS else roots
+    return left.join(small, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
 def _groups(docs: DataFrame, shingle: int, similarity: float, max_bits: int, leaders: int) -> tuple[DataFrame, DataFrame]:
@@ -236,13 +246,15 @@ def _groups(docs: DataFrame, shingle: int, similarity: float, max_bits: int, lea
     judge = _Judge(texts, nodes, repeated, shingle, similarity)
     judge(_close_pairs(nodes, max_bits))
 
-    keyed = first.select("node", "size", F.posexplode("keys").alias("place", "key"))
-    crowd = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = save(keyed.join(crowd, "key"), "met")
+    keyed = first.select("node", "size", "cold", F.posexplode("keys").alias("place", "key"))
+    salt = F.when(F.col("place") >= F.col("cold"), F.pmod("node", F.lit(_SALTS)) + 1).otherwise(F.lit(0))
+    crowd = F.count(F.lit(1)).over(Window.partitionBy("key", "salt"))
+    keyed = keyed.select("key", salt.alias("salt"), "node", "size", "place").withColumn("n", crowd)
+    met = save(keyed.where("n > 1 or salt > 0").drop("salt"), "met")
     # A text that others were made from meets more of them than they meet each other; it should lead.
-    degree = met.groupBy("node").agg(F.sum("n").alias("degree"))
-    left = _open_groups(met.drop("n").join(degree, "node"), judge)
-    release(met)
+    degree = save(met.groupBy("node").agg(F.sum("n").alias("degree")), "degree")
+    left = _open_groups(by_ids(met.drop("n"), degree, "inner", "node"), judge)
+    release(met, degree)
     while not left.isEmpty():
         # Members of the rarer components of a group lead first: with them gone, the group is one component.
         order = Window.partitionBy("key").orderBy("alike", F.desc("degree"), "node")

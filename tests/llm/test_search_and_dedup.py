@@ -262,6 +262,47 @@ def test_near_copies_of_short_texts(spark):
     assert all(want[-9 + 3 * g :][:2] == [len(texts) - 9 + 3 * g] * 2 for g in range(2))
 
 
+def test_near_copies_of_hot_shingles_and_in_crowded_groups(spark, monkeypatch):
+    rng = np.random.default_rng(41)
+    monkeypatch.setattr(nearcopies, "_HOT", 3)
+    passage = [f"p{x}" for x in range(60)]
+    texts = []
+    for g in range(60):
+        own = [f"o{g}x{x}" for x in range(12)]
+        texts.append(" ".join(passage + own))  # 56 of 76 shingles or fewer shared: unlike, though they share a passage
+    for g in range(40):
+        t = list(passage) + [f"c{x}" for x in range(60)]
+        t[int(rng.integers(5, 115))] = f"e{g}"
+        texts.append(" ".join(t))
+    texts += [" ".join(passage + [f"o{g}x{x}" for x in range(11)]) for g in range(0, 60, 7)]
+    want = near_groups(texts)
+    assert len(set(want[:60])) == 60 and len(set(want[60:100])) < 40
+    got = {r.doc_id: r.keeper for r in nearcopies.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got.get(i, i) for i in range(len(texts))] == want
+
+
+def test_shingle_sets_equal_the_plain_form(monkeypatch):
+    from recurra.llm import simhash as s
+
+    rng = np.random.default_rng(2)
+    words = nearcopies._WordHashes()
+    for piece in (1, 5, 1 << 20):
+        monkeypatch.setattr(s, "_PIECE", piece)
+        seen = {}
+        for n in (0, 1, 3, 4, 5, 6, 40):
+            t = " ".join(f"W{x}" for x in rng.integers(0, 9, n))
+            w = t.lower().split()
+            plain = {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set()
+            assert len(nearcopies.shingle_set(t.encode(), 5, words)) == len(plain)
+
+
+def test_documents_that_share_an_id_but_not_the_text_stay(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(30)) for c in "ab")
+    rows = [(1, a), (1, b), (1, a), (2, a + " x"), (3, b), (3, "other words here")]
+    kept = nearcopies.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == sorted([(1, a), (1, b), (3, "other words here")])
+
+
 def near_groups_of_blocks(texts, size):
     return [at + i for at in range(0, len(texts), size) for i in near_groups(texts[at : at + size])]
 
