@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, save
+from .common import components, counted, save, shuffled, slices
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
@@ -63,7 +63,10 @@ def _majority(counts: np.ndarray, total: int) -> int:
 
 
 def _bit_counts(h: np.ndarray) -> np.ndarray:
-    return np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    total = np.zeros(64, np.int64)
+    for at in range(0, len(h), 1 << 16):
+        total += np.unpackbits(h[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return total
 
 
 def simhash(text: bytes | None, size: int) -> int:
@@ -79,7 +82,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
     """(doc_id, fp) of every row; null text counts as empty."""
 
     def run(batches):
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole)):
             fp = [simhash(t, shingle) for t in b.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64())], names=["doc_id", "fp"])
 
@@ -113,7 +116,7 @@ def links(fps: DataFrame, max_bits: int = 2, cell_cap: int = 64) -> DataFrame:
         raise ValueError("max_bits must be 0, 1 or 2")
     cells = _cells(fps, max_bits)
     shared = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = save(cells.join(shared, "cell"), "cells")
+    members = save(cells.join(shuffled(shared), "cell"), "cells")
 
     sparse = members.where(F.col("n") <= cell_cap)
     x = F.col("a").bitwiseXOR(F.col("b"))
@@ -121,7 +124,7 @@ def links(fps: DataFrame, max_bits: int = 2, cell_cap: int = 64) -> DataFrame:
     meet = popcounts(F.when(F.bit_count(x) == 2, F.col("a").bitwiseXOR(lowest)).otherwise(F.col("a")))
     pairs = (
         sparse.select("cell", F.col("fp").alias("a"))
-        .join(sparse.select("cell", F.col("fp").alias("b")), "cell")
+        .join(shuffled(sparse.select("cell", F.col("fp").alias("b"))), "cell")
         .where((F.col("a") < F.col("b")) & (F.bit_count(x) <= max_bits) & (meet == F.col("cell")))
         .select("a", "b")
     )
@@ -132,10 +135,10 @@ def links(fps: DataFrame, max_bits: int = 2, cell_cap: int = 64) -> DataFrame:
     if max_bits == 1:
         # Two neighbours at one bit: one of them is the midpoint itself.
         hub = crowded.select(F.col("fp").alias("mid"))
-        star = ball.join(hub, "mid").select(F.col("mid").alias("a"), F.col("fp").alias("b"))
+        star = ball.join(shuffled(hub), "mid").select(F.col("mid").alias("a"), F.col("fp").alias("b"))
     else:
         first = ball.groupBy("mid").agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
-        star = ball.join(first, "mid").select("a", F.col("fp").alias("b"))
+        star = ball.join(shuffled(first), "mid").select("a", F.col("fp").alias("b"))
     return pairs.union(star.where("a <> b").distinct())
 
 
@@ -148,9 +151,9 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 3, max_bits: int = 2,
     fp = save(fingerprints(docs, shingle), "fp")
     least = save(fp.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     roots = components(links(least.select("fp"), max_bits, cell_cap))
-    rooted = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = least.join(counted(roots).withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     of_root = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = rooted.join(of_root, "root").select("fp", "component_id")
-    return fp.join(by_fp, "fp", "left").select(
+    by_fp = rooted.join(shuffled(of_root), "root").select("fp", "component_id")
+    return fp.join(shuffled(by_fp), "fp", "left").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
