@@ -7,7 +7,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from recurra.llm import nearcopies, simhash, topk
+from recurra.llm import common, nearcopies, simhash, topk
 from recurra.llm.common import components
 
 VEC = "vec_id long, embedding array<float>, rank int"
@@ -321,3 +321,36 @@ def test_components_of_a_chain(spark):
     edges = spark.createDataFrame(list(itertools.pairwise(ids)), "a long, b long")
     assert components(edges).select("root").distinct().count() == 1
     assert components(edges).where(F.col("node").isin(ids)).count() == n
+
+
+def _planned(monkeypatch, *modules):
+    """Physical plans, as Spark makes them first, of all that the modules save from now on."""
+    plans = []
+    for module in modules:
+        monkeypatch.setattr(module, "save", lambda df, tag, f=module.save: (plans.append(df._jdf.queryExecution().executedPlan().toString()), f(df, tag))[1])
+    return plans
+
+
+def test_links_build_no_exploded_table_in_the_driver(spark, monkeypatch):
+    # Spark takes 33 cells and 65 midpoints of a fingerprint for one row each, so its estimate is no bound.
+    plans = _planned(monkeypatch, simhash)
+    fps = spark.createDataFrame([(i * 0x9E3779B97F4A7C15 % (1 << 63),) for i in range(50)], "fp long")
+    found = simhash.links(fps)
+    assert plans and not any("Broadcast" in p for p in plans)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_near_copies_broadcast_only_what_is_counted(spark, monkeypatch):
+    plans = _planned(monkeypatch, nearcopies, common, simhash)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(words[:30] + [f"x{i % 3}"] + words[30:])) for i in range(12)] + [(99, "some other text of few words")]
+    got = {(r.doc_id, r.keeper) for r in nearcopies.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(i, 0) for i in range(1, 12)}
+    assert plans and not any("BroadcastHashJoin" in p for p in plans)
+
+
+def test_bits_of_a_long_text_are_counted_in_pieces():
+    h = np.random.default_rng(0).integers(0, 1 << 63, 150_001).astype(np.uint64)
+    want = [int((h >> np.uint64(i) & np.uint64(1)).sum()) for i in range(64)]
+    assert simhash._bit_counts(h).tolist() == want
