@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 _PIECE = 1 << 20
 _BITS = 21  # of a code point; three fit a long
 _NONE = (1 << _BITS) - 1  # no code point: fills the places of shorter n-grams
@@ -202,7 +204,7 @@ def predict(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
     def run(batches):
         model = shared.value
         low = _letter_table()
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole)):
             texts = b.column(b.schema.get_field_index("text")).cast(pa.string()).to_pylist()
             pred, score, known = ["und"] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
             some = [i for i, t in enumerate(texts) if t and model and low[np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)].any()]
