@@ -342,7 +342,7 @@ def test_links_build_no_exploded_table_in_the_driver(spark, monkeypatch):
 
 def test_near_copies_broadcast_only_what_is_counted(spark, monkeypatch):
     plans = _planned(monkeypatch, nearcopies, common, simhash)
-    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", -1)  # an empty table is too large as well
     words = [f"w{i}" for i in range(60)]
     rows = [(i, " ".join(words[:30] + [f"x{i % 3}"] + words[30:])) for i in range(12)] + [(99, "some other text of few words")]
     got = {(r.doc_id, r.keeper) for r in nearcopies.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
